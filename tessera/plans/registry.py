@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import clicks, operators, tpch
 
-def oracle_sql():
-    return {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """SQL over the Parquet tables of a folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if name in text:
+                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {k: sql_query(v) for k, v in tpch.SQL.items()}
+    out |= {k: sql_query(clicks.text(k, 0)) for k in clicks.SQL}
+    return out | operators.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(tpch.SQL) | {k: clicks.text(k, 1) for k in clicks.SQL} | operators.ORACLES
