@@ -32,10 +32,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scalar(name: str, source: str, key: str, exprs: dict[str, tuple[Column, str]]) -> None:
-    """One projection of named expressions over a table."""
+def scalar(name: str, source: str, key: str, exprs: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """One projection of named expressions, made when a session is there, over a table."""
     add(name, f"select {key}, " + ", ".join(f"{sql} as {k}" for k, (_, sql) in exprs.items()) + f" from {source}")(
-        lambda spark, d: table(spark, d, source).select(*[c(x.strip()) for x in key.split(",")], *[e.alias(k) for k, (e, _) in exprs.items()])
+        lambda spark, d: table(spark, d, source).select(*[c(x.strip()) for x in key.split(",")], *[e().alias(k) for k, (e, _) in exprs.items()])
     )
 
 
@@ -56,52 +56,57 @@ add("rename_and_reorder", "select o_custkey as customer, o_orderkey as id from o
 # scalar functions
 
 scalar("fn_compare", "lineitem", "l_orderkey, l_linenumber", {
-    "eq": (call("equal", c("l_returnflag"), F.lit("R")), "l_returnflag = 'R'"), "ne": (call("neq", c("l_linestatus"), F.lit("O")), "l_linestatus <> 'O'"),
-    "lt": (call("lt", c("l_quantity"), F.lit(10)), "l_quantity < 10"), "lte": (call("lte", c("l_tax"), F.lit(0.04)), "l_tax <= 0.04::double"),
-    "gt": (call("gt", c("l_extendedprice"), F.lit(5000)), "l_extendedprice > 5000"), "gte": (call("gte", c("l_partkey"), c("l_suppkey")), "l_partkey >= l_suppkey"),
-    "bt": (call("between", c("l_quantity"), F.lit(5), F.lit(9)), "l_quantity between 5 and 9"), "isin": (call("in", c("l_linenumber"), 1, 3), "l_linenumber in (1, 3)"),
+    "eq": (lambda: call("equal", c("l_returnflag"), F.lit("R")), "l_returnflag = 'R'"), "ne": (lambda: call("neq", c("l_linestatus"), F.lit("O")), "l_linestatus <> 'O'"),
+    "lt": (lambda: call("lt", c("l_quantity"), F.lit(10)), "l_quantity < 10"), "lte": (lambda: call("lte", c("l_tax"), F.lit(0.04)), "l_tax <= 0.04::double"),
+    "gt": (lambda: call("gt", c("l_extendedprice"), F.lit(5000)), "l_extendedprice > 5000"), "gte": (lambda: call("gte", c("l_partkey"), c("l_suppkey")), "l_partkey >= l_suppkey"),
+    "bt": (lambda: call("between", c("l_quantity"), F.lit(5), F.lit(9)), "l_quantity between 5 and 9"), "isin": (lambda: call("in", c("l_linenumber"), 1, 3), "l_linenumber in (1, 3)"),
 })
-_null = F.when(c("value") > 50, c("value"))
+
+
+def _null() -> Column:
+    return F.when(c("value") > 50, c("value"))
+
+
 scalar("fn_logic_null", "events", "event_id", {
-    "a": (call("and", _null > 60, c("user_id") > 50), "(case when value > 50 then value end) > 60 and user_id > 50"),
-    "o": (call("or", _null > 60, c("user_id") > 50), "(case when value > 50 then value end) > 60 or user_id > 50"),
-    "n": (call("not", _null > 60), "not ((case when value > 50 then value end) > 60)"), "isn": (call("is_null", _null), "(case when value > 50 then value end) is null"),
-    "notn": (call("is_not_null", _null), "(case when value > 50 then value end) is not null"),
-    "nse": (call("is_not_distinct_from", _null, F.lit(None).cast("double")), "(case when value > 50 then value end) is not distinct from null"),
-    "co": (call("coalesce", _null, F.lit(0.0)), "coalesce(case when value > 50 then value end, 0)"),
-    "cs": (call("if_then", c("value") > 80, F.lit("high"), c("value") > 40, F.lit("mid"), F.lit("low")), "case when value > 80 then 'high' when value > 40 then 'mid' else 'low' end"),
+    "a": (lambda: call("and", _null() > 60, c("user_id") > 50), "(case when value > 50 then value end) > 60 and user_id > 50"),
+    "o": (lambda: call("or", _null() > 60, c("user_id") > 50), "(case when value > 50 then value end) > 60 or user_id > 50"),
+    "n": (lambda: call("not", _null() > 60), "not ((case when value > 50 then value end) > 60)"), "isn": (lambda: call("is_null", _null()), "(case when value > 50 then value end) is null"),
+    "notn": (lambda: call("is_not_null", _null()), "(case when value > 50 then value end) is not null"),
+    "nse": (lambda: call("is_not_distinct_from", _null(), F.lit(None).cast("double")), "(case when value > 50 then value end) is not distinct from null"),
+    "co": (lambda: call("coalesce", _null(), F.lit(0.0)), "coalesce(case when value > 50 then value end, 0)"),
+    "cs": (lambda: call("if_then", c("value") > 80, F.lit("high"), c("value") > 40, F.lit("mid"), F.lit("low")), "case when value > 80 then 'high' when value > 40 then 'mid' else 'low' end"),
 })
 scalar("fn_arithmetic", "lineitem", "l_orderkey, l_linenumber", {
-    "ad": (call("add", c("l_orderkey"), c("l_partkey")), "l_orderkey + l_partkey"), "su": (call("subtract", c("l_orderkey"), c("l_suppkey")), "l_orderkey - l_suppkey"),
-    "mu": (call("multiply", c("l_quantity"), c("l_extendedprice")), "l_quantity * l_extendedprice"),
-    "di": (call("divide", c("l_partkey"), c("l_linenumber") - 1), "l_partkey::double / nullif(l_linenumber - 1, 0)"),
-    "mo": (call("modulus", c("l_partkey"), c("l_linenumber") - 1), "l_partkey % nullif(l_linenumber - 1, 0)"),
-    "ne": (call("negate", c("l_quantity")), "-l_quantity"), "ab": (call("abs", c("l_quantity") - 25), "abs(l_quantity - 25)"),
-    "ro": (call("round", c("l_extendedprice")), "round(l_extendedprice)"), "fl": (call("floor", c("l_extendedprice")), "floor(l_extendedprice)"), "ce": (call("ceil", c("l_extendedprice")), "ceil(l_extendedprice)"),
+    "ad": (lambda: call("add", c("l_orderkey"), c("l_partkey")), "l_orderkey + l_partkey"), "su": (lambda: call("subtract", c("l_orderkey"), c("l_suppkey")), "l_orderkey - l_suppkey"),
+    "mu": (lambda: call("multiply", c("l_quantity"), c("l_extendedprice")), "l_quantity * l_extendedprice"),
+    "di": (lambda: call("divide", c("l_partkey"), c("l_linenumber") - 1), "l_partkey::double / nullif(l_linenumber - 1, 0)"),
+    "mo": (lambda: call("modulus", c("l_partkey"), c("l_linenumber") - 1), "l_partkey % nullif(l_linenumber - 1, 0)"),
+    "ne": (lambda: call("negate", c("l_quantity")), "-l_quantity"), "ab": (lambda: call("abs", c("l_quantity") - 25), "abs(l_quantity - 25)"),
+    "ro": (lambda: call("round", c("l_extendedprice")), "round(l_extendedprice)"), "fl": (lambda: call("floor", c("l_extendedprice")), "floor(l_extendedprice)"), "ce": (lambda: call("ceil", c("l_extendedprice")), "ceil(l_extendedprice)"),
 })
 scalar("fn_cast", "part", "p_partkey", {
-    "a": (call("cast", c("p_retailprice"), "bigint"), "trunc(p_retailprice)::bigint"), "b": (call("cast", c("p_size"), "double"), "p_size::double"),
-    "s": (call("cast", c("p_size"), "string"), "p_size::varchar"), "n": (call("cast", c("p_name"), "bigint"), "try_cast(p_name as bigint)"),
-    "d": (call("cast", c("p_retailprice"), "decimal(18,2)"), "p_retailprice::decimal(18,2)"),
+    "a": (lambda: call("cast", c("p_retailprice"), "bigint"), "trunc(p_retailprice)::bigint"), "b": (lambda: call("cast", c("p_size"), "double"), "p_size::double"),
+    "s": (lambda: call("cast", c("p_size"), "string"), "p_size::varchar"), "n": (lambda: call("cast", c("p_name"), "bigint"), "try_cast(p_name as bigint)"),
+    "d": (lambda: call("cast", c("p_retailprice"), "decimal(18,2)"), "p_retailprice::decimal(18,2)"),
 })
 scalar("fn_string", "part", "p_partkey", {
-    "lk": (call("like", c("p_name"), "%a_e%"), "p_name like '%a_e%'"), "st": (call("starts_with", c("p_brand"), "Brand"), "starts_with(p_brand, 'Brand')"),
-    "en": (call("ends_with", c("p_name"), "e"), "ends_with(p_name, 'e')"), "ct": (call("contains", c("p_type"), "O"), "contains(p_type, 'O')"),
-    "sb": (call("substring", c("p_name"), 2, 3), "substring(p_name, 2, 3)"), "s0": (call("substring", c("p_name"), 3), "substring(p_name, 3)"),
-    "ln": (call("length", c("p_name")), "strlen(p_name)"), "lo": (call("lower", c("p_type")), "lower(p_type)"), "up": (call("upper", c("p_name")), "upper(p_name)"),
-    "tr": (call("trim", F.concat(F.lit("  "), c("p_name"), F.lit(" "))), "trim('  ' || p_name || ' ')"), "lt": (call("ltrim", F.concat(F.lit("  "), c("p_name"))), "ltrim('  ' || p_name)"),
-    "rt": (call("rtrim", F.concat(c("p_name"), F.lit("  "))), "rtrim(p_name || '  ')"), "cc": (call("concat", c("p_name"), F.lit(None).cast("string"), c("p_type")), "concat(p_name, null, p_type)"),
-    "rm": (call("regexp_match", c("p_name"), "^[a-m]"), "regexp_matches(p_name, '^[a-m]')"), "rr": (call("regexp_replace", c("p_name"), "([aeiou])", "<$1>"), r"regexp_replace(p_name, '([aeiou])', '<\1>', 'g')"),
-    "sp": (call("split_part", c("p_name"), " ", 2), "split_part(p_name, ' ', 2)"), "lv": (call("levenshtein", c("p_name"), c("p_type")), "levenshtein(p_name, p_type)"),
+    "lk": (lambda: call("like", c("p_name"), "%a_e%"), "p_name like '%a_e%'"), "st": (lambda: call("starts_with", c("p_brand"), "Brand"), "starts_with(p_brand, 'Brand')"),
+    "en": (lambda: call("ends_with", c("p_name"), "e"), "ends_with(p_name, 'e')"), "ct": (lambda: call("contains", c("p_type"), "O"), "contains(p_type, 'O')"),
+    "sb": (lambda: call("substring", c("p_name"), 2, 3), "substring(p_name, 2, 3)"), "s0": (lambda: call("substring", c("p_name"), 3), "substring(p_name, 3)"),
+    "ln": (lambda: call("length", c("p_name")), "strlen(p_name)"), "lo": (lambda: call("lower", c("p_type")), "lower(p_type)"), "up": (lambda: call("upper", c("p_name")), "upper(p_name)"),
+    "tr": (lambda: call("trim", F.concat(F.lit("  "), c("p_name"), F.lit(" "))), "trim('  ' || p_name || ' ')"), "lt": (lambda: call("ltrim", F.concat(F.lit("  "), c("p_name"))), "ltrim('  ' || p_name)"),
+    "rt": (lambda: call("rtrim", F.concat(c("p_name"), F.lit("  "))), "rtrim(p_name || '  ')"), "cc": (lambda: call("concat", c("p_name"), F.lit(None).cast("string"), c("p_type")), "concat(p_name, null, p_type)"),
+    "rm": (lambda: call("regexp_match", c("p_name"), "^[a-m]"), "regexp_matches(p_name, '^[a-m]')"), "rr": (lambda: call("regexp_replace", c("p_name"), "([aeiou])", "<$1>"), r"regexp_replace(p_name, '([aeiou])', '<\1>', 'g')"),
+    "sp": (lambda: call("split_part", c("p_name"), " ", 2), "split_part(p_name, ' ', 2)"), "lv": (lambda: call("levenshtein", c("p_name"), c("p_type")), "levenshtein(p_name, p_type)"),
 })
-scalar("fn_bytes", "documents", "doc_id", {"bytes": (call("length", c("text")), "strlen(text)")})
+scalar("fn_bytes", "documents", "doc_id", {"bytes": (lambda: call("length", c("text")), "strlen(text)")})
 scalar("fn_date", "orders", "o_orderkey", {
-    "y": (call("year", c("o_orderdate")), "year(o_orderdate)"), "m": (call("month", c("o_orderdate")), "month(o_orderdate)"), "q": (call("extract", "QUARTER", c("o_orderdate")), "quarter(o_orderdate)"),
-    "dd": (call("extract", "DAY", c("o_orderdate")), "day(o_orderdate)"), "pl": (call("date_add", c("o_orderdate").cast("date"), 30), "o_orderdate::date + 30"), "mi": (call("date_sub", c("o_orderdate").cast("date"), 7), "o_orderdate::date - 7"),
-    "df": (call("date_diff", c("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")), "o_orderdate::date - date '1995-01-01'"),
-    "sf": (call("strftime", c("o_orderdate"), "yyyy/MM/dd"), "strftime(o_orderdate, '%Y/%m/%d')"),
-    "tm": (F.to_date(call("date_trunc", "month", c("o_orderdate"))), "date_trunc('month', o_orderdate)::date"),
-    "sp": (call("strptime", F.date_format("o_orderdate", "dd.MM.yyyy"), "dd.MM.yyyy").cast("date"), "strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y')::date"),
+    "y": (lambda: call("year", c("o_orderdate")), "year(o_orderdate)"), "m": (lambda: call("month", c("o_orderdate")), "month(o_orderdate)"), "q": (lambda: call("extract", "QUARTER", c("o_orderdate")), "quarter(o_orderdate)"),
+    "dd": (lambda: call("extract", "DAY", c("o_orderdate")), "day(o_orderdate)"), "pl": (lambda: call("date_add", c("o_orderdate").cast("date"), 30), "o_orderdate::date + 30"), "mi": (lambda: call("date_sub", c("o_orderdate").cast("date"), 7), "o_orderdate::date - 7"),
+    "df": (lambda: call("date_diff", c("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")), "o_orderdate::date - date '1995-01-01'"),
+    "sf": (lambda: call("strftime", c("o_orderdate"), "yyyy/MM/dd"), "strftime(o_orderdate, '%Y/%m/%d')"),
+    "tm": (lambda: F.to_date(call("date_trunc", "month", c("o_orderdate"))), "date_trunc('month', o_orderdate)::date"),
+    "sp": (lambda: call("strptime", F.date_format("o_orderdate", "dd.MM.yyyy"), "dd.MM.yyyy").cast("date"), "strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y')::date"),
 })
 add("fn_hash", "select count(*) as n, count(distinct p_partkey) as hashes from part")(
     lambda s, d: table(s, d, "part").select(call("hash", c("p_partkey")).alias("h")).agg(F.count("h").alias("n"), F.count_distinct("h").alias("hashes"))
@@ -153,13 +158,12 @@ add("join_salted", "select o_orderkey, n_name from (select o_orderkey, o_custkey
 
 # aggregates
 
-_q, _p = c("l_quantity"), c("l_partkey")
 add("agg_all", "select l_returnflag, sum(l_partkey)::bigint as si, round(sum(l_tax), 4) as sf, sum(l_quantity::decimal(12,2)) as sd, count(l_tax) as n, count(*) as ns, min(l_shipdate)::date as lo, max(l_linestatus) as hi, round(avg(l_partkey), 6) as av, count(distinct l_partkey) as cd, sum(distinct l_linenumber)::bigint as sdi, median(l_quantity) as md, quantile_cont(l_quantity, 0.9) as q9, round(stddev(l_quantity), 6) as st, round(variance(l_quantity), 6) as va from lineitem group by l_returnflag")(
     lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(
-        aggregate("sum", _p).alias("si"), F.round(aggregate("sum", c("l_tax")), 4).alias("sf"), aggregate("sum", _q.cast("decimal(12,2)")).alias("sd"), aggregate("count", c("l_tax")).alias("n"),
-        aggregate("count_star").alias("ns"), aggregate("min", c("l_shipdate")).cast("date").alias("lo"), aggregate("max", c("l_linestatus")).alias("hi"), F.round(aggregate("avg", _p), 6).alias("av"),
-        aggregate("count_distinct", _p).alias("cd"), aggregate("sum_distinct", c("l_linenumber")).alias("sdi"), aggregate("median", _q).alias("md"), aggregate("quantile", _q, 0.9).alias("q9"),
-        F.round(aggregate("stddev", _q), 6).alias("st"), F.round(aggregate("variance", _q), 6).alias("va"),
+        aggregate("sum", c("l_partkey")).alias("si"), F.round(aggregate("sum", c("l_tax")), 4).alias("sf"), aggregate("sum", c("l_quantity").cast("decimal(12,2)")).alias("sd"), aggregate("count", c("l_tax")).alias("n"),
+        aggregate("count_star").alias("ns"), aggregate("min", c("l_shipdate")).cast("date").alias("lo"), aggregate("max", c("l_linestatus")).alias("hi"), F.round(aggregate("avg", c("l_partkey")), 6).alias("av"),
+        aggregate("count_distinct", c("l_partkey")).alias("cd"), aggregate("sum_distinct", c("l_linenumber")).alias("sdi"), aggregate("median", c("l_quantity")).alias("md"), aggregate("quantile", c("l_quantity"), 0.9).alias("q9"),
+        F.round(aggregate("stddev", c("l_quantity")), 6).alias("st"), F.round(aggregate("variance", c("l_quantity")), 6).alias("va"),
     )
 )
 add("agg_string", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")(
@@ -168,12 +172,12 @@ add("agg_string", "select n_regionkey, string_agg(n_name, ',' order by n_name) a
 add("agg_approx_distinct", "select event_type, true as near from events group by event_type")(
     lambda s, d: table(s, d, "events").groupBy("event_type").agg(aggregate("approx_count_distinct", c("user_id")).alias("a"), F.count_distinct("user_id").alias("b")).select("event_type", (F.abs(c("a") - c("b")) <= 0.2 * c("b")).alias("near"))
 )
-add("agg_global_empty", "select count(*) as n, sum(l_quantity) as s from lineitem where l_quantity < 0")(lambda s, d: table(s, d, "lineitem").where("l_quantity < 0").agg(aggregate("count_star").alias("n"), aggregate("sum", _q).alias("s")))
+add("agg_global_empty", "select count(*) as n, sum(l_quantity) as s from lineitem where l_quantity < 0")(lambda s, d: table(s, d, "lineitem").where("l_quantity < 0").agg(aggregate("count_star").alias("n"), aggregate("sum", c("l_quantity")).alias("s")))
 add("agg_null_and_expression_keys", "select case when value > 50 then event_type end as k, user_id % 10 as u, count(*) as n from events group by 1, 2")(
     lambda s, d: table(s, d, "events").groupBy(F.when(c("value") > 50, c("event_type")).alias("k"), (c("user_id") % 10).alias("u")).agg(aggregate("count_star").alias("n"))
 )
 add("agg_run_weighted", "select l_linestatus, sum(l_partkey * l_linenumber)::bigint as s, sum(l_linenumber)::bigint as n from lineitem group by l_linestatus")(
-    lambda s, d: table(s, d, "lineitem").groupBy("l_linestatus").agg(run_sum(_p, c("l_linenumber")).alias("s"), run_count(_p, c("l_linenumber")).alias("n"))
+    lambda s, d: table(s, d, "lineitem").groupBy("l_linestatus").agg(run_sum(c("l_partkey"), c("l_linenumber")).alias("s"), run_count(c("l_partkey"), c("l_linenumber")).alias("n"))
 )
 add("agg_cube", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")(lambda s, d: R.grouping(table(s, d, "lineitem"), "cube", ["l_returnflag", "l_linestatus"], F.count("*").alias("n")))
 add("agg_rollup", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus)")(lambda s, d: R.grouping(table(s, d, "lineitem"), "rollup", ["l_returnflag", "l_linestatus"], F.count("*").alias("n")))
@@ -182,16 +186,21 @@ add("having", "select o_custkey, count(*) as n from orders group by o_custkey ha
 
 # windows
 
-_by = {"partition": ["user_id"], "order": [c("ts").asc_nulls_last(), c("event_id").asc_nulls_last()]}
+
+
+def _by() -> dict:
+    return {"partition": ["user_id"], "order": [c("ts").asc_nulls_last(), c("event_id").asc_nulls_last()]}
+
+
 _over = "over (partition by user_id order by ts, event_id rows between unbounded preceding and current row)"
 _w = "over (partition by user_id order by ts, event_id)"
 _whole = {"partition": ["user_id"]}
 add("window_ranking", "select event_id, row_number() over (partition by user_id order by ts, event_id) as rn, rank() over (partition by user_id order by event_type) as rk, dense_rank() over (partition by user_id order by event_type) as dr from events")(
-    lambda s, d: table(s, d, "events").select("event_id", window("row_number", **_by).alias("rn"), window("rank", partition=["user_id"], order=[c("event_type")]).alias("rk"), window("dense_rank", partition=["user_id"], order=[c("event_type")]).alias("dr"))
+    lambda s, d: table(s, d, "events").select("event_id", window("row_number", **_by()).alias("rn"), window("rank", partition=["user_id"], order=[c("event_type")]).alias("rk"), window("dense_rank", partition=["user_id"], order=[c("event_type")]).alias("dr"))
 )
-add("window_lag_lead", f"select event_id, lag(value, 2) {_w} as a, lead(event_type) {_w} as b from events")(lambda s, d: table(s, d, "events").select("event_id", window("lag", c("value"), 2, **_by).alias("a"), window("lead", c("event_type"), **_by).alias("b")))
+add("window_lag_lead", f"select event_id, lag(value, 2) {_w} as a, lead(event_type) {_w} as b from events")(lambda s, d: table(s, d, "events").select("event_id", window("lag", c("value"), 2, **_by()).alias("a"), window("lead", c("event_type"), **_by()).alias("b")))
 add("window_running", f"select event_id, round(sum(value) {_over}, 4) as s, round(avg(value) {_over}, 10) as a, min(value) {_over} as lo, max(value) {_over} as hi, count(*) {_over} as n from events")(
-    lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_by), 4).alias("s"), F.round(window("avg", c("value"), **_by), 10).alias("a"), window("min", c("value"), **_by).alias("lo"), window("max", c("value"), **_by).alias("hi"), window("count", **_by).alias("n"))
+    lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_by()), 4).alias("s"), F.round(window("avg", c("value"), **_by()), 10).alias("a"), window("min", c("value"), **_by()).alias("lo"), window("max", c("value"), **_by()).alias("hi"), window("count", **_by()).alias("n"))
 )
 add("window_whole", "select event_id, round(sum(value) over (partition by user_id), 4) as s, count(*) over (partition by user_id) as n from events")(lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_whole), 4).alias("s"), window("count", **_whole).alias("n")))
 add("window_no_partition", "select n_nationkey, row_number() over (order by n_name) as rn, count(*) over () as n from nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", window("row_number", order=[c("n_name")]).alias("rn"), window("count").alias("n")))
