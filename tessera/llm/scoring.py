@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .attention import Model, Trainer
 from .common import written
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
-ALL_IDS = 49_408
+ALL_IDS = 32_000
 #: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, share of a text that a split trains on and the least words of it.
 SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "slice": 0.02, "slice_words": 24, "rate": 0.01, "score_tokens": 24_000}
 
@@ -32,6 +33,14 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def encoder(path: str):
+    """Words to lists of subword ids."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return lambda words: model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+
+
 class Subwords:
     """Words to model ids, each distinct word encoded once for as long as the cache holds it.
 
@@ -40,10 +49,8 @@ class Subwords:
     """
 
     def __init__(self, path: str, ids: list[int], v: int, logs: dict[bytes, float] | None = None, size: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.rank = np.full(ALL_IDS + 1024, len(ids), np.int32)
+        self.encode = encoder(path)
+        self.rank = np.full(ALL_IDS, len(ids), np.int32)
         self.rank[ids] = np.arange(len(ids))
         self.rare, self.size, self.logs = len(ids), size, logs or {}
         self.reset()
@@ -68,11 +75,10 @@ class Subwords:
         at = self.at
         new = list(set(words).difference(at))
         if new:
-            got = self.encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            lists = [self.rank[e.ids] for e in got]
+            lists = self.encode(new)
             n, base = len(new), len(at)
-            sizes = np.array([len(x) for x in lists], np.int32)
-            flat = np.concatenate(lists)
+            sizes = np.fromiter(map(len, lists), np.int32, n)
+            flat = self.rank[np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
             self._grow("pool", self.used + len(flat))[self.used : self.used + len(flat)] = flat
             self._grow("starts", base + n)[base : base + n] = self.used + np.cumsum(np.r_[0, sizes[:-1]])
             self._grow("sizes", base + n)[base : base + n] = sizes
@@ -113,14 +119,11 @@ def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int,
     """(id, count) of the commonest subword ids, from the counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encode, total = Tokenizer.from_file(tokenizer).encode_batch_fast, np.zeros(ALL_IDS + 1024, np.int64)
+        encode, total = encoder(tokenizer), np.zeros(ALL_IDS, np.int64)
         for b in batches:
-            words = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            for e, c in zip(encode(words, add_special_tokens=False), b.column(1).to_pylist(), strict=True):
-                for i in e.ids:
-                    total[i] += c
+            lists = encode(b.column(0).to_pylist())
+            times = np.repeat(b.column(1).to_numpy(), np.fromiter(map(len, lists), np.int64, len(lists)))
+            np.add.at(total, np.fromiter(chain.from_iterable(lists), np.int64, len(times)), times)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["id", "n"])
 
