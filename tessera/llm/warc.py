@@ -125,7 +125,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in sorted(nexts, reverse=True):  # a successor is always further on
                 leaves[at] = leaves.get(nexts[at], nexts[at])
             f.file.close()
-            yield pa.RecordBatch.from_pydict({"path": [r["path"]] * len(leaves), "at": pa.array([r["start"] + a for a in leaves], pa.int64()), "to": pa.array([r["start"] + b for b in leaves.values()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": pa.array([r["path"]] * len(leaves), pa.string()), "at": pa.array([r["start"] + a for a in leaves], pa.int64()), "to": pa.array([r["start"] + b for b in leaves.values()], pa.int64())})
 
 
 _FIELDS = "path string, at long, id long, record_type string, url string, digest string, refers_to long, payload_bytes long, payload binary"
