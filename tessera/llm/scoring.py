@@ -10,23 +10,25 @@ table of counts by a shuffle, so no word is lost however many there are.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import Model, Trainer
+from .attention import Model, Trainer, keep_freed
 from .common import written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, share of a text that a split trains on and the least words of it.
-SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "slice": 0.02, "slice_words": 24, "rate": 0.01, "score_tokens": 24_000}
+#: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, share of a text that a split trains on and the least words of it, words that are scored at once.
+SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "slice": 0.02, "slice_words": 24, "rate": 0.01, "score_words": 10_000}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -44,6 +46,8 @@ def encoder(path: str):
 class Subwords:
     """Words to model ids, each distinct word encoded once for as long as the cache holds it.
 
+    A full cache drops the words that are not in ``logs``, the commonest of the corpus, and goes on.
+
     The model's ids are the commonest subword ids by rank; all others are one token, ``rare``, whose
     probability is spread evenly over them; the last id is the end of a text.
     """
@@ -71,22 +75,33 @@ class Subwords:
     def places(self, words: list[bytes]) -> np.ndarray:
         """Rows of the cache for words, new ones added."""
         if len(self.at) > self.size:
-            self.reset()
-        at = self.at
-        new = list(set(words).difference(at))
-        if new:
+            self._keep_common()
+        rows = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            new = list({words[i] for i in missing})
             lists = self.encode(new)
-            n, base = len(new), len(at)
-            sizes = np.fromiter(map(len, lists), np.int32, n)
+            sizes = np.fromiter(map(len, lists), np.int32, len(new))
             flat = self.rank[np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
-            self._grow("pool", self.used + len(flat))[self.used : self.used + len(flat)] = flat
-            self._grow("starts", base + n)[base : base + n] = self.used + np.cumsum(np.r_[0, sizes[:-1]])
-            self._grow("sizes", base + n)[base : base + n] = sizes
-            self._grow("known", base + n)[base : base + n] = [self.logs.get(w, np.nan) for w in new]
-            self.used += len(flat)
-            for i, w in enumerate(new, base):
-                at[w] = i
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            self._add(new, flat, sizes, np.array([self.logs.get(w, np.nan) for w in new]))
+            rows[missing] = [self.at[words[i]] for i in missing]
+        return rows
+
+    def _add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> None:
+        n, base = len(words), len(self.at)
+        self._grow("pool", self.used + len(flat))[self.used : self.used + len(flat)] = flat
+        self._grow("starts", base + n)[base : base + n] = self.used + np.cumsum(sizes) - sizes
+        self._grow("sizes", base + n)[base : base + n] = sizes
+        self._grow("known", base + n)[base : base + n] = known
+        self.used += len(flat)
+        self.at.update(zip(words, range(base, base + n), strict=True))
+
+    def _keep_common(self) -> None:
+        words = [w for w in self.at if w in self.logs]
+        rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        flat, sizes, known = self.ids(rows), self.sizes[rows], self.known[rows]
+        self.reset()
+        self._add(words, flat, sizes, known)
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         sizes = self.sizes[rows]
@@ -95,6 +110,17 @@ class Subwords:
         return self.pool[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
 
 
+_held: dict[str, Subwords] = {}
+
+
+def held_subwords(name: str, *given) -> Subwords:
+    """The subwords of one fit, kept by a Python worker from task to task."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Subwords(*given)
+    return _held[name]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, c) of a (text binary) table; tasks count before the shuffle, in memory that is bounded."""
 
@@ -133,12 +159,25 @@ def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int,
 
 def _slices(batches: Iterator[pa.RecordBatch], sub: Subwords, share: float, least: int, seed: int) -> Iterator[np.ndarray]:
     """Ids of one run of words of each text: a share of it, at a place that its length and the seed decide."""
+
+    def ids(cuts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        places, end = sub.places(list(chain.from_iterable(cuts))), 0
+        for cut in cuts:
+            begin, end = end, end + len(cut)
+            yield sub.ids(places[begin:end])
+
     for b in batches:
+        cuts, held = [], 0
         for t in b.column(0):
             words = words_of(t.as_py())
             n = max(least, int(len(words) * share))
             at = (len(words) * 7919 + seed) % max(1, len(words) - n + 1)
-            yield sub.ids(sub.places(words[at : at + n]))
+            cuts.append(words[at : at + n])
+            held += n
+            if held >= 10_000:
+                yield from ids(cuts)
+                cuts, held = [], 0
+        yield from ids(cuts)
 
 
 def _train(model: Model, texts: Iterator[np.ndarray], rate: float, step_tokens: int, steps: int | None) -> int:
@@ -156,8 +195,8 @@ def _train(model: Model, texts: Iterator[np.ndarray], rate: float, step_tokens:
     return seen
 
 
-def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, tokenizer: str, **given) -> tuple[Model, list[int]]:
-    """The model and its subword ids, from the (text binary) training rows and their word counts."""
+def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: dict[bytes, float], tokenizer: str, **given) -> tuple[Model, Broadcast]:
+    """The model, from the (text binary) training rows and their word counts; and what its ``held_subwords`` are made from."""
     o = SETTINGS | given
     common = _commonest_ids(counts, tokenizer, o["vocabulary"] - 2)
     ids, v = [i for i, _ in common], o["vocabulary"]
@@ -170,6 +209,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, tokenizer:
     step, rate, share, least = o["step_tokens"], o["rate"], o["slice"], o["slice_words"]
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model, sub = Model(v, logs=logs), Subwords(tokenizer, ids, v)
         texts = [sub.ids(sub.places(words_of(t.as_py()))) for b in batches for t in b.column(0)]
         texts = [x[i : i + 256] for x in texts for i in range(0, len(x), 256)]
@@ -186,11 +226,13 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, tokenizer:
     start = sample.repartition(1).mapInArrow(warm, "p binary").collect()
     first = start[0]["p"] if start else Model(v, logs=logs).pack().tobytes()
     shared = spark.sparkContext.broadcast(first)
+    words = spark.sparkContext.broadcast((uuid.uuid4().hex, tokenizer, ids, v, logs_of))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         flat = np.frombuffer(shared.value, np.float32)
         model = Model(v, logs=logs).unpack(flat)
-        n = _train(model, _slices(batches, Subwords(tokenizer, ids, v), share, least, 2), rate / 10, step, None)
+        n = _train(model, _slices(batches, held_subwords(*words.value), share, least, 2), rate / 10, step, None)
         moved = model.pack() - flat
         cut = np.array_split(np.arange(len(moved)), 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([moved[c].tobytes() for c in cut], pa.binary()), pa.array([n] * 16, pa.int64())], names=["part", "p", "n"])
@@ -208,7 +250,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, tokenizer:
     flat = np.frombuffer(first, np.float32)
     if moved:
         flat = flat + np.concatenate([moved[i] for i in sorted(moved)])
-    return Model(v, logs=logs).unpack(flat), ids
+    return Model(v, logs=logs).unpack(flat), words
 
 
 _SCORED = "doc long, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>"
@@ -233,22 +275,28 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     below = np.log10(n + 0.5 * (v + 1))
     logs = {w: float(np.log10(c + 0.5) - below) for w, c in head.items()}
     end_log = float(np.log10(rows + 0.5) - below)
-    model, ids = fit(train, counts, n, rows, tokenizer, **given)
-    width = o["vocabulary"]
-    rare_log = float(np.log10(max(1, ALL_IDS - len(ids))))
-    shared = spark.sparkContext.broadcast((model.pack(), ids, logs))
-    chunk = o["score_tokens"]
+    model, subs = fit(train, counts, n, rows, logs, tokenizer, **given)
+    shared = spark.sparkContext.broadcast(model.pack())
+    width, chunk = o["vocabulary"], o["score_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, ids, logs = shared.value
-        net = Model(width).unpack(flat)
-        sub = Subwords(tokenizer, ids, width, logs)
-        rows: list[list] = []
-        texts: list[np.ndarray] = []
+        keep_freed()
+        net, sub = Model(width).unpack(shared.value), held_subwords(*subs.value)
+        rare_log = float(np.log10(max(1, ALL_IDS - sub.rare)))
+        docs: list[int | None] = []
+        texts: list[list[bytes]] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            scores = net.log10(texts) - np.array([np.count_nonzero(t == sub.rare) for t in texts]) * rare_log
+            places = sub.places(list(chain.from_iterable(texts)))
+            known, rows, ids, end = sub.known[places], [], [], 0
+            for doc, words in zip(docs, texts, strict=True):
+                begin, end = end, end + len(words)
+                of, missing = known[begin:end], np.isnan(known[begin:end])
+                tail = Counter(words[i] for i in np.flatnonzero(missing).tolist())
+                rows.append([doc, len(words) + 1, len(words) - int(missing.sum()), float(of[~missing].sum()) + end_log, list(tail), list(tail.values())])
+                ids.append(sub.ids(places[begin:end]))
+            scores = net.log10(ids) - np.array([np.count_nonzero(t == sub.rare) for t in ids]) * rare_log
             cols = [[r[i] for r in rows] for i in range(6)]
             cols.insert(4, scores.tolist())
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
@@ -256,18 +304,13 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
         for b in batches:
             for doc, t in zip(b.column(0), b.column(1), strict=True):
-                words = words_of(t.as_py())
-                at = sub.places(words)
-                known = sub.known[at]
-                missing = np.isnan(known)
-                tail = Counter(words[i] for i in np.flatnonzero(missing).tolist())
-                rows.append([doc.as_py(), len(words) + 1, len(words) - int(missing.sum()), float(known[~missing].sum()) + end_log, list(tail), list(tail.values())])
-                texts.append(sub.ids(at))
+                docs.append(doc.as_py())
+                texts.append(words_of(t.as_py()))
                 held += len(texts[-1]) + 1
                 if held >= chunk:
                     yield out()
-                    rows, texts, held = [], [], 0
-        if rows:
+                    docs, texts, held = [], [], 0
+        if docs:
             yield out()
 
     got = body.select("doc", "text").mapInArrow(run, _SCORED).withColumn("rid", F.monotonically_increasing_id())

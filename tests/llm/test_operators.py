@@ -168,6 +168,19 @@ def test_gradients():
         assert abs((loss[0] - loss[1]) / 2e-2 / n - g[name][i]) < 1e-4 + 0.05 * abs(g[name][i])
 
 
+def test_full_subword_cache():
+    ids, logs = list(range(200, 700)), {b"the": -1.0, b"and": -2.0}
+    words = [f"word{i % 90}".encode() for i in range(400)] + [b"the", "\u00e9\u00df".encode(), b"and", b"the"]
+    sub, one = scoring.Subwords(scoring.TOKENIZER, ids, 502, logs, size=20), scoring.encoder(scoring.TOKENIZER)
+    for i in range(0, len(words), 7):
+        part = words[i : i + 7]
+        at = sub.places(part)
+        want = [sub.rank[x] for w in part for x in one([w])[0]]
+        assert sub.ids(at).tolist() == want and len(sub.at) <= 20 + len(part)
+        assert [x for x in sub.known[at] if x < 0] == [logs[w] for w in part if w in logs]
+    assert sub.places([]).tolist() == [] and sub.ids(sub.places([])).tolist() == []
+
+
 def test_base_scores(spark, odd, none):
     learn = id_crc("doc_id", 5) != 1
     small = {"warm_tokens": 5000, "vocabulary": 200, "head_words": 5}
