@@ -181,7 +181,7 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, radius: int = 4, seeds: tuple[int, ...] = (42, 7), rounds: int = 3) -> DataFrame:
+def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, radius: int = 5, seeds: tuple[int, ...] = (42, 7, 11), rounds: int = 3) -> DataFrame:
     """(rid, key, root): groups of texts with Jaccard similarity ``least`` or more over word shingles.
 
     ``rid`` is a hash of key and text.  Texts with equal word sequences (A-Z lower-cased) form a class that

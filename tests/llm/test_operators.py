@@ -128,9 +128,9 @@ def test_dense_bucket_in_chunks(spark):
 def test_near_dedup(spark, odd, none, sf):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns
-    # text 10 is similar to text 0; the method promises to see it only if fingerprints of some seed are within 4 bits
-    a, b = (simhash.word_set_fingerprints(t.encode(), (42, 7)) for t in (BASE, BASE + " and more"))
-    seen = min((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 4
+    # text 10 is similar to text 0; the method promises to see it only if fingerprints of some seed are within 5 bits
+    a, b = (simhash.word_set_fingerprints(t.encode(), (42, 7, 11)) for t in (BASE, BASE + " and more"))
+    seen = min((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 5
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 5, 9, *([] if seen else [10]), 11]
     assert simhash.near_dedup(none).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -140,7 +140,7 @@ def test_near_dedup(spark, odd, none, sf):
     near = {(a, b) for i, a in enumerate(ids) for b in ids[:i] if simhash.jaccard(text[a], text[b], 5) >= 0.8}
     group = components(near, ids)
     assert all(group[i] != i for i in ids if i not in stay)  # nothing clean goes
-    assert sum(a in stay and b in stay for a, b in near) <= 0.1 * len(near)
+    assert not any(a in stay and b in stay for a, b in near)
 
 
 # 3
