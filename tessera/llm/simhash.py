@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by covering locality-sensitive hashing.
+"""SimHash fingerprints and near-duplicate groups by covering locality-sensitive hashing; similar texts by a prefix join.
 
 Covering: every bit position gets a nonzero vector of GF(2)^(r+1).  Table t, one for each nonzero vector t,
 keeps the bits whose vector has an odd product with t.  Two fingerprints that differ in at most r positions
@@ -181,61 +181,193 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, radius: int = 5, seeds: tuple[int, ...] = (42, 7, 11), rounds: int = 3) -> DataFrame:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted unsigned 64-bit hashes of the set of word shingles."""
+    s = shingle_set(text, shingle)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
+
+
+def common_shingles(texts: DataFrame, rows: int, shingle: int, sample: int = 20_000, share: float = 0.05, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that are common in a sample of (node, text): ``sample`` texts or a ``share`` of all.
+
+    They only decide the order in which prefixes are taken; any order gives the same groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [shingle_hashes(t.as_py(), shingle) for t in b.column(0)]
+            if h:
+                u, n = np.unique(np.concatenate(h), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    part = min(1.0, max(share, sample / max(1, rows)))
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20))).select("text")
+    counts = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "token").limit(most).toPandas()
+    h, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The rarest hashes of a set, by (count, hash), so many that two sets with Jaccard ``least`` or more share one of them."""
+    rank, (hot, n) = np.zeros(len(h), np.int64), common
+    if len(hot):
+        i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        rank = np.where(hot[i] == h, n[i], 0)
+    return h[np.lexsort((h, rank))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+
+
+def with_prefixes(texts: DataFrame, common, shingle: int, least: float) -> DataFrame:
+    """(token, node, size, at): the prefix of each (node, text), with the size of its set and the place of each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = common.value
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            heads = [prefix_of(h, order, least) for h in sets]
+            if not heads:
+                continue
+            times = np.array([len(h) for h in heads])
+            token = np.concatenate(heads).view(np.int64)
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), times)
+            size = np.repeat(np.array([len(h) for h in sets], np.int32), times)
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in times])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(size), pa.array(at)], names=["token", "node", "size", "at"])
+
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, at int")
+
+
+def may_reach(size: np.ndarray, at: np.ndarray, size2, at2, least: float) -> np.ndarray:
+    """Whether sets that share a token at these places, and none before, can have Jaccard ``least``."""
+    both = np.minimum(size - at, size2 - at2)
+    return both * (1 + least) >= least * (size + size2) - 1e-6
+
+
+def _bucket_pairs(least: float, star: bool):
+    """Rows (bucket, node, size, at, root, p, q), sorted by bucket, to candidate pairs of different roots.
+
+    ``star``: each row with the first of its bucket only, a bucket's rows are not held.  Else each with each,
+    and in a bucket of two chunks p <> q only those of different chunks.
+    """
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, node, size, at, root, p, q = cols
+        for i in range(len(node) - 1):
+            ok = may_reach(size[i + 1 :], at[i + 1 :], size[i], at[i], least) & (root[i + 1 :] != root[i])
+            ok &= (p[i + 1 :] != p[i]) | (q[i] == 1)
+            if ok.any():
+                yield from emit(np.full(int(ok.sum()), node[i]), node[i + 1 :][ok])
+
+    def emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for x in parts:
+            held.append(x)
+            n += len(x)
+            if n >= 50_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            ids = cols[0]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            if star:
+                head = np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+                ok = (cols[4] != cols[4][head]) & may_reach(cols[2], cols[3], cols[2][head], cols[3][head], least)
+                if ok.any():
+                    yield from emit(cols[1][head][ok], cols[1][ok])
+                kept = [c[starts[-1] : starts[-1] + 1] for c in cols]
+                continue
+            ends = np.r_[starts[1:], len(ids)]
+            for s, e in zip(starts[:-1], ends[:-1], strict=True):
+                yield from pairs([c[s:e] for c in cols])
+            kept = [c[starts[-1] :] for c in cols]
+        if kept is not None and not star:
+            yield from pairs(kept)
+
+    return lambda batches: gathered(solve(batches))
+
+
+def _in_buckets(rows: DataFrame, order: list, least: float, star: bool) -> DataFrame:
+    rows = rows.select("bucket", "node", "size", "at", "root", "p", "q", *[o.alias(f"o{i}") for i, o in enumerate(order)])
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", *[f"o{i}" for i in range(len(order))])
+    return rows.select("bucket", "node", "size", "at", "root", "p", "q").mapInArrow(_bucket_pairs(least, star), "src long, dst long").distinct()
+
+
+def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, chunk: int = 4096) -> DataFrame:
     """(rid, key, root): groups of texts with Jaccard similarity ``least`` or more over word shingles.
 
     ``rid`` is a hash of key and text.  Texts with equal word sequences (A-Z lower-cased) form a class that
-    stands as one.  Candidates are pairs of classes whose word-set fingerprints, for any seed, are within the
-    radius by covering hashing; each is verified on whole texts.  Buckets yield spanning forests of
-    candidates, not all pairs; the classes whose candidates failed are bucketed again among themselves.
+    stands as one.  In any one order of all shingles, two sets that are similar enough share one of the first
+    (1 - least) of each, so the classes are bucketed by these, rare shingles first; sizes and places
+    rule out more.  Two rounds compare each class with one head of each of its buckets, which ties large groups
+    of near copies together; then all pairs of a bucket that aren't in one group yet are compared, buckets of more
+    than ``chunk`` rows as pairs of chunks.  Every candidate is verified on whole texts, and no pair is lost.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, fps = [], []
-            for t in b.column(2):
-                body = t.as_py() or b""
-                cls.append(xxhash.xxh3_64_intdigest(b" ".join(body.lower().split())))
-                fps.append(np.array(word_set_fingerprints(body, seeds), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))], names=["rid", "key", "cls", "fps"])
+            cls = [xxhash.xxh3_64_intdigest(b" ".join((t.as_py() or b"").lower().split())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(cls, np.uint64).view(np.int64))], names=["rid", "key", "cls"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [jaccard(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["src", "dst", "ok"])
 
+    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     body = df.select(F.xxhash64(key, text).alias("rid"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    rows = written(body.mapInArrow(scan, f"rid long, key {kind}, cls long, fps array<long>"), "fingerprints")
-    classes = written(rows.groupBy("cls").agg(F.min("rid").alias("node"), F.first("fps").alias("fps")), "classes")
-    open_nodes, good = classes, None
-    for _ in range(rounds):
-        pairs = None
-        for i in range(len(seeds)):
-            one = open_nodes.select(F.col("fps")[i].alias("fp"), "node")
-            head = one.groupBy("fp").agg(F.min("node").alias("head"))
-            same = one.join(head, "fp").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-            far = near_pairs(head.select("fp"), radius).distinct()
-            far = far.join(head.select(F.col("fp").alias("src"), F.col("head").alias("s")), "src").join(head.select(F.col("fp").alias("dst"), F.col("head").alias("d")), "dst")
-            got = same.union(far.select("s", "d"))
-            pairs = got if pairs is None else pairs.union(got)
-        pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        pairs = written(pairs if good is None else pairs.join(good, ["src", "dst"], "left_anti"), "candidates")
-        ids = written(pairs.select(F.col("src").alias("rid")).union(pairs.select("dst")).distinct(), "candidate_ids")
-        texts = written(body.select("rid", "text").join(ids, "rid").groupBy("rid").agg(F.first("text").alias("text")), "candidate_texts")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = [jaccard(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["src", "dst", "ok"])
-
-        both = pairs.join(texts.select(F.col("rid").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("rid").alias("dst"), F.col("text").alias("b")), "dst")
-        checked = written(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long, ok boolean"), "checked")
-        new = checked.where("ok").select("src", "dst")
-        good = new if good is None else written(good.union(new), "verified")
-        failed = checked.where("not ok")
-        tied = good.select(F.col("src").alias("node")).union(good.select("dst"))
-        alone = failed.select(F.col("src").alias("node")).union(failed.select("dst")).distinct().join(tied, "node", "left_anti")
-        open_nodes = written(classes.join(alone, "node", "left_semi").select("cls", "node", "fps"), "open")
-        if open_nodes.limit(2).count() < 2:
-            break
-    roots = connected_components(good)
-    named = classes.select("cls", "node").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
+    rows = written(body.mapInArrow(scan, f"rid long, key {kind}, cls long"), "fingerprints")
+    classes = written(rows.groupBy("cls").agg(F.min("rid").alias("node")), "classes")
+    texts = written(body.select(F.col("rid").alias("node"), "text").join(classes.select("node"), "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    common = spark.sparkContext.broadcast(common_shingles(texts, classes.count(), shingle))
+    pre = written(with_prefixes(texts, common, shingle, least), "prefixes")
+    several = pre.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    pre = written(pre.join(several, "token"), "shared")
+    checked, roots = None, None
+
+    def check(pairs: DataFrame) -> None:
+        """Verify candidates that are new, and join their groups."""
+        nonlocal checked, roots
+        if checked is not None:
+            pairs = pairs.join(checked.select("src", "dst"), ["src", "dst"], "left_anti")
+        pairs = written(pairs, "candidates")
+        both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+        new = written(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long, ok boolean"), "checked")
+        checked = new if checked is None else checked.union(new)
+        roots = written(connected_components(checked.where("ok").select("src", "dst")), "roots")
+
+    def open_rows() -> DataFrame:
+        """Prefix rows of the buckets that hold more than one group."""
+        named = pre.withColumn("root", F.col("node")) if roots is None else pre.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if roots is not None:
+            open_tokens = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+            named = named.join(open_tokens, "token")
+        return named.withColumn("bucket", F.col("token")).withColumn("p", F.lit(0)).withColumn("q", F.lit(1))
+
+    check(_in_buckets(open_rows(), [F.col("node")], least, True))
+    check(_in_buckets(open_rows(), [F.col("at"), F.xxhash64("node")], least, True))
+    rest = written(open_rows(), "rest")
+    size = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("g"))
+    part = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    tile = F.expr("case when g = 1 then array(struct(0 as i, 1 as q)) else transform(sequence(0, g - 1), j -> struct(least(j, p) * g + greatest(j, p) as i, int(j = p) as q)) end")
+    tiles = rest.drop("p", "q").join(size, "token").withColumn("p", part).withColumn("tile", F.explode(tile))
+    tiles = tiles.withColumn("bucket", F.xxhash64("token", "tile.i")).withColumn("q", F.col("tile.q"))
+    check(_in_buckets(tiles, [F.col("node")], least, False))
+    named = classes.join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
     return rows.select("rid", "key", "cls").join(named, "cls").select("rid", "key", "root")
 
 

@@ -143,6 +143,24 @@ def test_near_dedup(spark, odd, none, sf):
     assert not any(a in stay and b in stay for a, b in near)
 
 
+def test_appended_copies(spark):
+    """Similar texts that word-set fingerprints miss."""
+    r = np.random.default_rng(7)
+    word = lambda n, p: [f"{p}{x}" for x in r.integers(0, 10**6, n)]
+    texts = []
+    for i in range(30):
+        base = word(int(r.integers(100, 300)), "w")
+        texts += [base, base + word(int(len(base) * (0.08, 0.15, 0.22)[i % 3]), "foreign"), base[int(len(base) * 0.15) :]]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard(texts[a].encode(), texts[b].encode(), 5) >= 0.8}
+    group = components(near, range(len(texts)))
+    for chunk in (4096, 4):
+        roots = {r.key: r.root for r in simhash.similar_groups(docs, "doc_id", "text", chunk=chunk).collect()}
+        assert all((roots[a] == roots[b]) == (group[a] == group[b]) for a in roots for b in roots)
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(group.values())
+
+
 # 3
 
 
