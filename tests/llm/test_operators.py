@@ -143,14 +143,18 @@ def test_near_dedup(spark, odd, none, sf):
     assert not any(a in stay and b in stay for a, b in near)
 
 
-def test_appended_copies(spark):
-    """Similar texts that word-set fingerprints miss."""
+def test_appended_and_reordered_copies(spark):
+    """Similar texts that word-set fingerprints miss, and many texts of the same words of which few are similar."""
     r = np.random.default_rng(7)
     word = lambda n, p: [f"{p}{x}" for x in r.integers(0, 10**6, n)]
     texts = []
     for i in range(30):
         base = word(int(r.integers(100, 300)), "w")
         texts += [base, base + word(int(len(base) * (0.08, 0.15, 0.22)[i % 3]), "foreign"), base[int(len(base) * 0.15) :]]
+    bag = word(60, "v")
+    texts += [list(r.permutation(bag)) for _ in range(20)]
+    for b in [list(r.permutation(bag)) for _ in range(6)]:
+        texts += [b, b[1:] + b[:1], b[3:] + b[:3]]
     texts = [" ".join(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     near = {(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard(texts[a].encode(), texts[b].encode(), 5) >= 0.8}
