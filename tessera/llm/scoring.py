@@ -1,7 +1,7 @@
 """Language-model scores of whole texts, beside a smoothed word-frequency base.
 
 Passes over the corpus: (1) words of the training rows are counted; (2) the attention model is warmed up in one
-task on a bounded sample of passages, then every input split trains on a slice of each of its training texts and
+task on a bounded sample of passages, then every input split trains on all words of its training texts and
 the split's parameters are averaged, so what is gathered grows with the corpus; (3) all texts are scored.
 
 The commonest words, a bounded number, travel with the tasks; all other words of the texts are joined with the
@@ -27,8 +27,8 @@ from .common import written
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, share of a text that a split trains on and the least words of it, words that are scored at once.
-SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "slice": 0.02, "slice_words": 24, "rate": 0.01, "score_words": 10_000}
+#: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, words that are scored at once.
+SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "rate": 0.01, "score_words": 10_000}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -157,27 +157,15 @@ def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int,
     return [(r["id"], r["n"]) for r in got]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], sub: Subwords, share: float, least: int, seed: int) -> Iterator[np.ndarray]:
-    """Ids of one run of words of each text: a share of it, at a place that its length and the seed decide."""
-
-    def ids(cuts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        places, end = sub.places(list(chain.from_iterable(cuts))), 0
-        for cut in cuts:
-            begin, end = end, end + len(cut)
-            yield sub.ids(places[begin:end])
-
+def _pieces(batches: Iterator[pa.RecordBatch], sub: Subwords, most: int) -> Iterator[np.ndarray]:
+    """Ids of all words of each text, in pieces of at most ``most``."""
     for b in batches:
-        cuts, held = [], 0
         for t in b.column(0):
             words = words_of(t.as_py())
-            n = max(least, int(len(words) * share))
-            at = (len(words) * 7919 + seed) % max(1, len(words) - n + 1)
-            cuts.append(words[at : at + n])
-            held += n
-            if held >= 10_000:
-                yield from ids(cuts)
-                cuts, held = [], 0
-        yield from ids(cuts)
+            for i in range(0, max(1, len(words)), 10_000):
+                ids = sub.ids(sub.places(words[i : i + 10_000]))
+                for k in range(0, max(1, len(ids)), most):
+                    yield ids[k : k + most]
 
 
 def _train(model: Model, texts: Iterator[np.ndarray], rate: float, step_tokens: int, steps: int | None) -> int:
@@ -206,7 +194,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
     freq[v - 1] += rows
     logs = np.log(freq / freq.sum())
     spark = texts.sparkSession
-    step, rate, share, least = o["step_tokens"], o["rate"], o["slice"], o["slice_words"]
+    step, rate = o["step_tokens"], o["rate"]
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
@@ -232,7 +220,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
         keep_freed()
         flat = np.frombuffer(shared.value, np.float32)
         model = Model(v, logs=logs).unpack(flat)
-        n = _train(model, _slices(batches, held_subwords(*words.value), share, least, 2), rate / 10, step, None)
+        n = _train(model, _pieces(batches, held_subwords(*words.value), step), rate / 10, step, None)
         moved = model.pack() - flat
         cut = np.array_split(np.arange(len(moved)), 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([moved[c].tobytes() for c in cut], pa.binary()), pa.array([n] * 16, pa.int64())], names=["part", "p", "n"])

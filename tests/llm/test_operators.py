@@ -203,6 +203,17 @@ def test_full_subword_cache():
     assert sub.places([]).tolist() == [] and sub.ids(sub.places([])).tolist() == []
 
 
+def test_training_takes_all_words():
+    import pyarrow as pa
+
+    sub = scoring.Subwords(scoring.TOKENIZER, list(range(200, 700)), 502)
+    texts = [LONG.encode(), b"", b"one two", " ".join(f"word{i}" for i in range(25_000)).encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    got = list(scoring._pieces(iter([batch]), sub, 1000))
+    want = [sub.ids(sub.places(t.split())) for t in texts]
+    assert np.concatenate(got).tolist() == np.concatenate(want).tolist() and max(map(len, got)) <= 1000
+
+
 def test_base_scores(spark, odd, none):
     learn = id_crc("doc_id", 5) != 1
     small = {"warm_tokens": 5000, "vocabulary": 200, "head_words": 5}
