@@ -12,7 +12,7 @@ import ctypes
 
 import numpy as np
 
-BLOCK = 8
+BLOCK = 32
 LEVELS = 3
 _LOW = np.float32(-1e9)
 

@@ -27,8 +27,8 @@ from .common import written
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: model vocabulary, words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, words that are scored at once.
-SETTINGS = {"vocabulary": 1331, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "rate": 0.01, "score_words": 10_000}
+#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, words that are scored at once.
+SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "rate": 0.01, "score_words": 10_000}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -48,7 +48,7 @@ class Subwords:
 
     A full cache drops the words that are not in ``logs``, the commonest of the corpus, and goes on.
 
-    The model's ids are the commonest subword ids by rank; all others are one token, ``rare``, whose
+    The model's ids are the subword ids of the training texts by rank; all others are one token, ``rare``, whose
     probability is spread evenly over them; the last id is the end of a text.
     """
 
@@ -187,7 +187,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
     """The model, from the (text binary) training rows and their word counts; and what its ``held_subwords`` are made from."""
     o = SETTINGS | given
     common = _commonest_ids(counts, tokenizer, o["vocabulary"] - 2)
-    ids, v = [i for i, _ in common], o["vocabulary"]
+    ids, v = [i for i, _ in common], len(common) + 2
     freq = np.ones(v)
     freq[: len(ids)] += [n for _, n in common]
     freq[len(ids)] += max(0, 0.001 * sum(n for _, n in common))
@@ -265,7 +265,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     end_log = float(np.log10(rows + 0.5) - below)
     model, subs = fit(train, counts, n, rows, logs, tokenizer, **given)
     shared = spark.sparkContext.broadcast(model.pack())
-    width, chunk = o["vocabulary"], o["score_words"]
+    width, chunk = model.v, o["score_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()

@@ -214,6 +214,19 @@ def test_training_takes_all_words():
     assert np.concatenate(got).tolist() == np.concatenate(want).tolist() and max(map(len, got)) <= 1000
 
 
+def test_rare_subwords_and_far_context_count(spark):
+    a, b = np.arange(40, dtype=np.int32), np.arange(40, dtype=np.int32)
+    b[10] = 60
+    net = Model(90, 8, 4, seed=1)
+    far = [net.log10([x[:40]])[0] - net.log10([x[:39]])[0] for x in (a, b)]
+    assert abs(far[0] - far[1]) > 1e-6  # a token 28 places back
+    texts = [" ".join(f"{x}{i}" for i in range(400)) for x in ("\u00e9t\u00e9", "zebra", "q\u00fc", "Stra\u00dfe", "x7")] + [BASE, LONG]
+    words = spark.createDataFrame([(w.encode(), 1) for t in texts for w in t.lower().split()], "word binary, c long")
+    used = {i for t in texts for x in scoring.encoder(scoring.TOKENIZER)(scoring.words_of(t.encode())) for i in x}
+    got = scoring._commonest_ids(words, scoring.TOKENIZER, scoring.SETTINGS["vocabulary"] - 2)
+    assert {i for i, _ in got} == used and scoring.SETTINGS["vocabulary"] - 2 == scoring.ALL_IDS
+
+
 def test_base_scores(spark, odd, none):
     learn = id_crc("doc_id", 5) != 1
     small = {"warm_tokens": 5000, "vocabulary": 200, "head_words": 5}
