@@ -2,7 +2,7 @@
 
 An item of L characters may differ by k = floor(rate x L) edits, at least one.  Cut into k+1 pieces, one piece
 of every match within the budget is untouched.  An Aho-Corasick automaton finds exact pieces in the whole
-text; around each hit Myers' bit-parallel distance decides.
+text; around each hit Myers' bit-parallel distance decides.  Short items count only as they are, as whole words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: Letters of scripts that don't set words apart.
+_JOINED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def normal(text: str) -> str:
@@ -69,16 +71,24 @@ def char_masks(item: str) -> dict[str, int]:
     return dict(out)
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether a part of a normalized text cuts no word; between letters of scripts without gaps any cut will do."""
+    return all(
+        i in (0, len(text)) or " " in text[i - 1 : i + 1] or _JOINED.search(text[i - 1 : i + 1]) is not None
+        for i in (start, end)
+    )
+
+
 class Matcher:
-    """A block of items, searched for in normalized texts."""
+    """A block of items, searched for in normalized texts; those of fewer than ``least`` characters without errors."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = 40):
         import ahocorasick
 
         self.items = []
         owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            k = budget(len(text), rate)
+            k = budget(len(text), rate) if len(text) >= least else 0
             for at, piece in pieces(text, k):
                 owners[piece].append((len(self.items), at))
             self.items.append((item_id, len(text), k, char_masks(text)))
@@ -99,6 +109,11 @@ class Matcher:
         out = []
         for i, places in starts.items():
             item_id, m, k, masks = self.items[i]
+            if not k:
+                s = next((s for s in places if whole_words(text, s, s + m)), None)
+                if s is not None:
+                    out.append((item_id, 0, s + m))
+                continue
             best, found, upto = k + 1, -1, -1
             for s in sorted(set(places)):
                 # a match that holds this piece lies within k of where the piece puts it
@@ -115,15 +130,18 @@ class Matcher:
         return out
 
 
-def _matches(rate: float, items):
+def _matches(rate: float, least: int, items):
+    """Rows (rid, text) to matches; an item here is the place of a text in the block, whose ids all match."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, rate)
+        matcher = Matcher([(i, n) for i, (n, _) in enumerate(items.value)], rate, least)
         for b in batches:
             rows: list[list] = [[], [], [], []]
             for rid, t in zip(b.column(0), b.column(1), strict=True):
-                for item, d, end in matcher.find(normal(t.as_py() or "")):
-                    for c, v in zip(rows, (rid.as_py(), item, d, end), strict=True):
-                        c.append(v)
+                for at, d, end in matcher.find(normal(t.as_py() or "")):
+                    for item in items.value[at][1]:
+                        for c, v in zip(rows, (rid.as_py(), item, d, end), strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["rid", "item_id", "distance", "match_end"])
 
     return run
@@ -133,8 +151,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     """(rid, item_id, distance, match_end): each item within its error budget in each text, ``rid`` a hash of the text.
 
     Lengths and distances are in characters of normalized text; ``match_end`` is where the best match ends
-    in it.  Items shorter than ``least`` normalized characters say too little and match nothing; of equal
-    items the smallest id counts.  Null texts match nothing.
+    in it.  Items shorter than ``least`` normalized characters match only without errors and as whole words, those
+    without a letter or digit nothing; of equal items each id matches.  Null texts match nothing.
 
     The items, a stated query set, are dealt into blocks of about ``block_mb`` MB by hash, and each block,
     bounded in size, is sent to the tasks that search all texts.
@@ -146,12 +164,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     rows = docs.select((F.xxhash64(text) if rid is None else rid).alias("rid"), F.col(text).alias("text"))
     out = None
     for k in range(blocks):
-        got: dict[str, int] = {}
+        got: dict[str, set[int]] = defaultdict(set)
         for r in items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).toLocalIterator():
-            if len(n := normal(r["t"])) >= least:
-                got[n] = min(got.get(n, r["item_id"]), r["item_id"])
-        shared = spark.sparkContext.broadcast([(i, n) for n, i in sorted(got.items())])
-        part = rows.mapInArrow(_matches(rate, shared), "rid long, item_id long, distance int, match_end long")
+            if n := normal(r["t"]):
+                got[n].add(r["item_id"])
+        shared = spark.sparkContext.broadcast([(n, sorted(ids)) for n, ids in sorted(got.items())])
+        part = rows.mapInArrow(_matches(rate, least, shared), "rid long, item_id long, distance int, match_end long")
         out = part if out is None else out.union(part)
     return out
 

@@ -281,6 +281,15 @@ def test_decontaminate(spark, odd, none):
     assert len(table) == odd.count() and {r.item_id for r in table} == {1, None}
     assert decontam.decontaminate(none, bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
+def test_short_and_equal_items(spark):
+    texts = ["Tell me: what is 2 + 2?", "somewhat is 2 25", "\u5b66\u751f\u5728\u5317\u4eac\u5927\u5b66\u8bfb\u4e66", "none", LONG, "what is 2", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(1, "What is 2 + 2"), (2, "\u5317\u4eac\u5927\u5b66"), (3, LONG[:100]), (4, LONG[:100].upper() + "!"), (5, "?!"), (6, "what is 2 2"), (6, "what is 2 2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.distance or 0) for r in decontam.leak_table(docs, bench).collect())
+    assert got == [(0, 1, 0), (0, 6, 0), (1, 0, 0), (2, 2, 0), (3, 0, 0), (4, 3, 0), (4, 4, 0), (5, 0, 0), (6, 0, 0)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [1, 3, 5, 6]
+
 
 # 5
 
