@@ -245,8 +245,8 @@ class SubstringIndex:
         )
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256) of all rows, filed in batches of rising ids.
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 5, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(key, n_words, n_removed, kept_sha256) of all rows, filed in batches of rising ids, more than the index merges at once.
 
     Words covered by a window that also starts in a row with a smaller key go; windows are judged on the
     input.  Null text: no words.  Rows with a null key neither lose words nor cost others any.  Rows with
