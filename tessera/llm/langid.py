@@ -67,20 +67,21 @@ class Encoder:
         return total
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 2000, dims: int = 1024, seed: int = 1) -> dict[str, np.ndarray]:
-    """Language to unit vector, from at most about ``rows_per_lang`` random rows of each language (a bound that is this parameter).
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 2000, languages: int = 1000, dims: int = 1024, seed: int = 1) -> dict[str, np.ndarray]:
+    """Language to unit vector, from at most about ``rows_per_lang`` random rows of each of the
+    ``languages`` commonest languages (bounds that are these parameters).
 
     Rows with null text or language teach nothing.  The languages are counted without reading texts; then
-    each row is in the sample by a hash of its text and its language's share.  Tasks return one sum for each
+    each row is in the sample by a hash of its key and text and its language's share, so copies are drawn one by one.  Tasks return one sum for each
     language, so the driver gets tasks x languages vectors.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"))
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, rows_per_lang / n))]) if count else None
     if share is None:
         return {}
-    u = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    u = F.pmod(F.xxhash64("key", "text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, total = Encoder(dims, seed), {}

@@ -408,6 +408,17 @@ def test_language_id(spark, odd, none, sf):
     assert langid.identify(none.select("doc_id", "text", "lang"), F.lit(True)).count() == 0
 
 
+def test_sample_of_copies(spark):
+    texts = ["alpha beta", "gamma delta", "one more text"]
+    rows = [(i, texts[i % 3], "aa") for i in range(6000)] + [(i, "zu wem", "bb") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows_per_lang=300)
+    enc = langid.Encoder()
+    units = [v / np.sqrt(v @ v) for v in map(enc.vector, texts)]
+    assert sorted(model) == ["aa", "bb"] and model["aa"] @ sum(units) > 0.98 * np.sqrt(sum(units) @ sum(units))
+    assert sorted(langid.fit(docs, rows_per_lang=300, languages=1)) == ["aa"]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
 
