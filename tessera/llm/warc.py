@@ -22,7 +22,7 @@ MAGIC = b"WARC/1.0\r\n"
 BLANK = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-#: A record's header is at most this long.
+#: Bytes in which a record's header is looked for at first.
 HEADER = 1 << 16
 #: Bytes of an archive that a task searches.
 BLOCK = 8 << 20
@@ -101,7 +101,7 @@ class ByteFile:
 
 def parse_header(raw: bytes) -> dict[str, str] | None:
     """Fields, names in lower case, of bytes that begin with the magic; None if that is no whole header with a length."""
-    end = raw.find(BLANK, 0, HEADER)
+    end = raw.find(BLANK)
     if end < 0 or not raw.startswith(MAGIC):
         return None
     fields = {"": str(end + 4)}
@@ -111,6 +111,16 @@ def parse_header(raw: bytes) -> dict[str, str] | None:
     return fields if fields.get("content-length", "").isdigit() else None
 
 
+def header_at(f: ByteFile, data: bytes, base: int, at: int) -> dict[str, str] | None:
+    """The header at a place of the file, of which ``data`` begins at ``base``; a long one is read on in doubling steps."""
+    n = HEADER
+    raw = data[at - base : at - base + n]
+    while len(raw) == n and raw.startswith(MAGIC) and BLANK not in raw and all(b":" in x for x in raw[len(MAGIC) :].split(b"\r\n")[:-1]):
+        n *= 2
+        raw = f.read(at, n)
+    return parse_header(raw)
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, block, start, stop) ranges to (path, at, to): each candidate and where its chain leaves the range."""
     for batch in batches:
@@ -118,7 +128,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (f := ByteFile(r["path"])).read(r["start"], r["stop"] - r["start"] + HEADER)
             n, at, nexts = r["stop"] - r["start"], data.find(MAGIC), {}
             while 0 <= at < n:
-                if head := parse_header(data[at : at + HEADER]):
+                if head := header_at(f, data, r["start"], r["start"] + at):
                     nexts[at] = at + int(head[""]) + int(head["content-length"]) + 4
                 at = data.find(MAGIC, at + 1)
             leaves: dict[int, int] = {}
@@ -147,7 +157,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at < r["stop"]:
                 if at - base + HEADER > len(data) and base + len(data) < r["size"]:
                     data, base = f.read(at, BLOCK), at
-                head = parse_header(data[at - base : at - base + HEADER])
+                head = header_at(f, data, base, at)
                 if head is None:
                     raise ValueError(f"{r['path']}: no record at {at}")
                 first, size = at + int(head[""]), int(head["content-length"])

@@ -311,6 +311,14 @@ def test_warc_round_trip(spark):
         assert r.payload == (body if first == i else None)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
+def test_warc_long_headers(spark):
+    rows = [(i, "http://a/" + "u" * n, f"page {i}") for i, n in enumerate((10, 65_600, 300_000, 5, 131_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.new_path(spark, "t")
+    warc.write_archives(pages, path)
+    got = {r.id: (r.url, r.payload.decode()) for r in warc.read_archives(spark, path, block=100_000).collect()}
+    assert got == {i: (u, h) for i, u, h in rows}
+
 
 # 6
 
