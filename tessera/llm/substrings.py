@@ -2,15 +2,18 @@
 
 A window is ``span`` consecutive words.  The index doesn't hold every window: each window is filed under the
 least hash among the ``gram``-word sequences in it (winnowing), so equal windows are filed alike whatever
-stands around them.  Neighbouring windows filed under the same place form a segment.  A batch writes its
-segments as an immutable run sorted by fingerprint, and the runs are merge-joined with it:
+stands around them.  Neighbouring windows filed under the same place form a segment.
 
-1. fingerprints that a document with a smaller id has too are kept, all others are done with;
-2. segments equal as a whole to one of a smaller id are covered as a whole;
-3. what is left, in effect the ends of shared passages, is verified window by window.
+The index has two tables, dealt into buckets of files by fingerprint and sorted: the fingerprints, and the
+different segments, each with the place where it stands first.  A batch of documents is appended as a sorted
+run of immutable files and merge-joined with all runs before it, bucket by bucket, without a shuffle of them:
 
-Hashes: 64 bits for fingerprints, which only select; two of 64 bits, 128 together, where they decide.
-When there are ``fan_in`` runs they are compacted into one.
+1. segments equal as a whole to one of a smaller id are covered as a whole;
+2. where a new segment has a fingerprint in common with another one, in effect at the ends of shared passages,
+   the words are read again and compared window by window.
+
+Fingerprints, made from 64-bit hashes of words, only select.  Equality is decided by 128-bit hashes of the words' own bytes.
+After ``fan_in`` runs the files of each bucket are merged into one.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, written
+from .common import Bucketed, discard, written
 
 SPAN, GRAM = 50, 16
+#: The segments of a fingerprint are dealt over so many buckets, as boilerplate gives many texts the same one.
+SALTS = 16
 _U = np.uint64
 #: Odd multipliers of the hashes, fixed values.
 MIX = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -44,8 +50,6 @@ class WordHashes:
         self.size = size
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
         if len(self.seen) > self.size:
             self.seen.clear()
         seen = self.seen
@@ -54,12 +58,12 @@ class WordHashes:
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def rolling(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n hashes: sum of h[i+k] * m^(n-1-k) modulo 2^64, mixed; by doubling."""
-    m = MIX[salt]
+    m = MIX[0]
     with np.errstate(over="ignore"):
         power, done, at, out = m, 1, 0, None
-        block = _mixed(h + m) if salt else h * MIX[2]
+        block = h * MIX[2]
         while True:
             if n & done:
                 if out is None:
@@ -91,76 +95,88 @@ def segments(h: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndar
     return starts, np.diff(np.r_[starts, len(least)]), least[starts]
 
 
-def segment_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, span: int, salt: int) -> np.ndarray:
-    """A hash of all words of each segment, by prefix sums of h[i] * m^i scaled back to the segment's start."""
-    m = int(MIX[salt])
-    with np.errstate(over="ignore"):
-        inv = _U(pow(m, -1, 1 << 64))
-        up, down = np.full(len(h) + 1, _U(m)), np.full(len(h) + 1, inv)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up), np.cumprod(down)
-        sums = np.r_[_U(0), np.cumsum(_mixed(h + MIX[salt]) * up[:-1])]
-        return _mixed((sums[starts + counts + span - 1] - sums[starts]) * down[starts] + counts.astype(np.uint64))
+class Words:
+    """The words of a text, joined by single spaces, and hashes of the bytes of word ranges."""
 
+    def __init__(self, words: list[bytes]):
+        self.joined = b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        self.starts = np.r_[0, self.ends[:-1] + 1]
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    def hashes(self, at: np.ndarray, n) -> np.ndarray:
+        """Two signed 64-bit halves of the hash of each range of n words."""
+        view = memoryview(self.joined)
+        found = [xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(self.starts[at].tolist(), self.ends[at + n - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-_SEGMENT = "rid long, doc long, n_words long, sha string, at array<int>, n array<int>, f array<long>, a array<long>, b array<long>"
+_SCANNED = "rid long, doc long, n_words long, sha string, text binary, at array<int>, n array<int>, f array<long>, a array<long>, b array<long>"
+_KINDS = [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 3]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _scan(span: int, gram: int):
-    """(rid, doc, text binary) to one row with the document's words, digest and segments."""
+    """(rid, doc, text binary) to one row with the document's words, digest and segments; short texts and rows without a key have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rid, doc = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, 256):
-                cols: list[list] = [[] for _ in range(7)]
-                for t in batch.column(2)[k : k + 256]:
+                part = batch.slice(k, 256)
+                rows = []
+                for doc, t in zip(part.column(1), part.column(2), strict=True):
                     words = (t.as_py() or b"").split()
-                    row = [len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None]
-                    if len(words) >= span:
-                        h = hashes(words)
-                        at, n, f = segments(h, span, gram)
-                        row[2:] = [at.astype(np.int32), n.astype(np.int32), f.view(np.int64), segment_hashes(h, at, n, span, 0).view(np.int64), segment_hashes(h, at, n, span, 1).view(np.int64)]
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                kinds = [pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 3]
-                yield pa.RecordBatch.from_arrays([rid[k : k + 256], doc[k : k + 256], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+                    whole = Words(words)
+                    row = [len(words), hashlib.sha256(whole.joined).hexdigest(), None, None, None, None, None, None]
+                    if len(words) >= span and doc.is_valid:
+                        at, n, f = segments(hashes(words), span, gram)
+                        ab = whole.hashes(at, n + span - 1)
+                        row[2:] = [whole.joined, at.astype(np.int32), n.astype(np.int32), f.view(np.int64), ab[:, 0], ab[:, 1]]
+                    rows.append(row)
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=_names(_SCANNED))
 
     return run
 
 
+_WINDOW = "part int, rid long, doc long, at int, a long, b long"
+
+
 def _windows(span: int):
-    """(rid, doc, text, at, n) to the hashes of the named windows."""
+    """(part, rid, doc, text, at, n) to the hashes of the named windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for rid, doc, text, at, n in zip(*[batch.column(i) for i in range(5)], strict=True):
-                h = hashes(text.as_py().split())
-                at, n = np.asarray(at.values), np.asarray(n.values)
-                where = np.unique(np.concatenate([np.arange(x, x + y) for x, y in zip(at, n, strict=True)]))
-                a, b = rolling(h, span, 0)[where], rolling(h, span, 1)[where]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), rid.as_py())), pa.array(np.full(len(where), doc.as_py())), pa.array(where.astype(np.int32)), _signed(a), _signed(b)], names=["rid", "doc", "at", "a", "b"])
+            for part, rid, doc, text, at, n in zip(*batch.columns, strict=True):
+                places = [np.arange(x, x + y) for x, y in zip(at.as_py(), n.as_py(), strict=True)]
+                where = np.unique(np.concatenate(places))
+                ab = Words(text.as_py().split(b" ")).hashes(where, span)
+                same = [pa.array([x.as_py()] * len(where), t) for x, t in ((part, pa.int32()), (rid, pa.int64()), (doc, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(where.astype(np.int32)), pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=_names(_WINDOW))
 
     return run
 
 
+_KEPT = "doc long, n_words long, n_removed long, kept_sha256 string"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, at, n words) to what is left of the text: n_removed and the digest of the kept words."""
+    """(doc, n_words, sha, text, at, n words) to what is left: a null text loses nothing."""
     for batch in batches:
-        out: list[list] = [[], [], []]
-        for rid, text, at, n in zip(*[batch.column(i) for i in range(4)], strict=True):
-            words = text.as_py().split()
+        removed, kept = [], []
+        for sha, text, at, n in zip(*batch.columns[2:], strict=True):
+            if not text.is_valid:
+                removed.append(0)
+                kept.append(sha.as_py())
+                continue
+            words = text.as_py().split(b" ")
             keep = kept_mask(len(words), np.asarray(at.values), np.asarray(n.values))
-            out[0].append(rid.as_py())
-            out[1].append(int(len(words) - keep.sum()))
-            out[2].append(hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["rid", "n_removed", "kept"])
+            removed.append(int(len(words) - keep.sum()))
+            kept.append(hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=_names(_KEPT))
 
 
 def kept_mask(words: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -172,99 +188,107 @@ def kept_mask(words: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class SubstringIndex:
-    """Runs of fingerprints of all documents seen so far; batches must come with rising ids to see all that is smaller."""
+    """Fingerprints and segments of all documents seen so far; batches must come with rising ids to see all that is smaller.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, gram: int = GRAM, fan_in: int = 4):
-        self.spark, self.path, self.span, self.gram, self.fan_in = spark, path or new_path(spark, "runs"), span, gram, fan_in
-        self.runs: list[str] = []
-        self.count = 0
+    There are as many buckets as the session has shuffle partitions when the index is made.
+    """
 
-    def _run(self, df: DataFrame) -> str:
-        """Write an immutable run sorted by fingerprint."""
-        path, self.count = f"{self.path}/run{self.count:06d}", self.count + 1
-        df.repartition("f").sortWithinPartitions("f", "doc").write.option("compression", "zstd").parquet(path)
-        return path
+    def __init__(self, spark: SparkSession, span: int = SPAN, gram: int = GRAM, fan_in: int = 4):
+        self.spark, self.span, self.gram, self.fan_in = spark, span, gram, fan_in
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prints = Bucketed(spark, "fingerprints", ["f"], buckets)
+        self.segments = Bucketed(spark, "segments", ["f", "s"], buckets)
+        self.texts: list[Bucketed] = []
+        self.runs = 0
 
     def compact(self) -> None:
-        """Merge all runs into one and drop the old ones."""
-        if len(self.runs) > 1:
-            old, merged = self.runs, self._run(self.spark.read.parquet(*self.runs))
-            self.runs = [merged]
-            for p in old:
-                remove(self.spark, p)
-
-    def add(self, docs: DataFrame, history: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(rid, doc, n_words, sha, rid-wise ranges removed): file a batch and tell what of it smaller ids have.
-
-        ``history``: the documents of earlier batches, read again only where a passage is verified.
-        Returns (doc, n_words, n_removed, kept) of the batch's rows.
-        """
-        span = self.span
-        rows = lambda d: d.select(F.xxhash64(key, text).alias("rid"), F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
-        scanned = written(rows(docs).mapInArrow(_scan(span, self.gram), _SEGMENT), "scan")
-        base = scanned.select("rid", "doc", "n_words", "sha")
-
-        # equal word sequences: the least id stands for all of them in the index
-        long = base.where(f"n_words >= {span} and doc is not null")
-        least = long.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        copies = written(long.join(least, "sha").where("doc > least").select("rid", "doc"), "copies")
-        flat = scanned.where("at is not null and doc is not null").join(copies.select("rid"), "rid", "left_anti")
-        flat = flat.select("rid", "doc", F.explode(F.arrays_zip("at", "n", "f", "a", "b")).alias("s")).select("rid", "doc", "s.*")
-        self.runs.append(self._run(flat))
-        new = self.spark.read.parquet(self.runs[-1])
-        all_runs = self.spark.read.parquet(*self.runs)
-
-        # 1. fingerprints of this batch that a smaller id has too
-        shared = all_runs.groupBy("f").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        hit = written(all_runs.join(shared.select("f", "low"), "f"), "shared")
-        mine = (lambda d: d) if len(self.runs) == 1 and history is None else (lambda d: d.join(base.select("rid").distinct(), "rid", "left_semi"))
-        # 2. whole segments
-        whole = hit.groupBy("a", "b", "n").agg(F.min("doc").alias("first"))
-        judged = written(mine(hit.where("doc > low")).join(whole, ["a", "b", "n"]).select("rid", "doc", "f", "at", "n", (F.col("first") < F.col("doc")).alias("equal")), "judged")
-        ranges = judged.where("equal").select("rid", "at", (F.col("n") + span - 1).alias("n"))
-        # 3. windows of the fingerprints that are still open
-        open_f = judged.where("not equal").groupBy("f").agg(F.max("doc").alias("top"))
-        ask = hit.join(open_f, "f").where("doc <= top").groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-        texts = rows(docs if history is None else history.select(key, text).union(docs.select(key, text)))
-        texts = texts.join(ask, "rid").select("rid", "doc", "text", "at", "n")
-        win = written(texts.mapInArrow(_windows(span), "rid long, doc long, at int, a long, b long"), "windows")
+        """Merge all runs into one; of a fingerprint that several had one row stays, as of equal segments."""
+        self.prints.compact(lambda df: df.groupBy("f").agg(F.min("part").alias("part")))
+        self.segments.compact(lambda df: df.where("old is null"))
+        self.runs = 1
+
+    def drop(self) -> None:
+        for t in (self.prints, self.segments, *self.texts):
+            t.drop()
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """File a batch; (doc, n_words, n_removed, kept_sha256) of its rows, judged by it and all batches before."""
+        span, part, later = self.span, len(self.texts), bool(self.texts)
+        rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
+        self.texts.append(Bucketed(self.spark, "texts", ["rid"], self.prints.buckets))
+        self.texts[part].append(self.texts[part].dealt(rows.mapInArrow(_scan(span, self.gram), _SCANNED)))
+        mine = self.texts[part].read()
+        placed = mine.where("at is not null").select("rid", "doc", F.explode(F.arrays_zip("at", "n", "f", "a", "b")).alias("x")).select("rid", "doc", "x.*")
+
+        # the different segments, and the least id of an equal one in the runs before
+        segs = placed.groupBy("f", F.pmod("a", F.lit(SALTS)).cast("int").alias("s"), "a", "b")
+        segs = segs.agg(F.min(F.struct("doc", "rid", "at", "n")).alias("m"), F.max("doc").alias("high")).select("f", "s", "a", "b", "m.*", "high", F.lit(part).alias("part"))
+        segs, same = self.segments.dealt(segs), ["f", "s", "a", "b"]
+        if later:
+            segs = segs.join(self.segments.read().where("old is null").select(*same, F.col("doc").alias("old")), same, "left")
+        else:
+            segs = segs.withColumn("old", F.lit(None).cast("long"))
+        self.segments.append(segs)
+        all_segs = self.segments.read()
+        segs = all_segs.where(F.col("part") == part)
+
+        # 1. whole segments
+        equal = written(segs.select("a", "b", "high", F.coalesce("old", "doc").alias("first")).where("first < high").drop("high"), "equal")
+        ranges = placed.join(equal, ["a", "b"]).where("first < doc").select("rid", "at", (F.col("n") + span - 1).alias("n"))
+
+        # 2. fingerprints of segments that aren't equal, and the windows of all segments that have them
+        prints = segs.groupBy("f").agg(F.min("doc").alias("low"), F.max("doc").alias("top"))
+        shared = prints.withColumn("known", F.lit(False))
+        if later:
+            known = self.prints.read().groupBy("f").agg(F.lit(True).alias("known"))
+            shared = prints.join(known, "f", "left").select("f", "low", "top", F.coalesce("known", F.lit(False)).alias("known"))
+        shared = written(shared.where("known or low < top").select("f", "low", "known"), "shared")
+        self.prints.append(self.prints.dealt(prints.select("f", F.lit(part).alias("part"))))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
+        asked = segs.where("old is null").join(shared.select("*", salts), ["f", "s"]).where("known or low < doc")
+        asked = written(asked.groupBy("f").agg(F.max("doc").alias("top")), "asked")
+        places = all_segs.where("old is null").join(asked.select("*", salts), ["f", "s"]).where("doc <= top")
+        places = written(places.select("part", "rid", "at", "n"), "places")
+        win = None
+        for i, t in enumerate(self.texts):
+            ask = places.where(F.col("part") == i).groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
+            got = t.read().select("rid", "doc", "text").join(ask, "rid").select(F.lit(i).alias("part"), "rid", "doc", "text", "ats", "ns").mapInArrow(_windows(span), _WINDOW)
+            win = got if win is None else win.union(got)
+        win = written(win, "windows")
         first = win.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-        single = mine(win.join(first, ["a", "b"]).where("doc > first")).select("rid", "at", F.lit(span).alias("n"))
-        gone = ranges.union(single).groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-        cut = rows(docs).join(gone, "rid").select("rid", "text", "at", "n").mapInArrow(_cut, "rid long, n_removed long, kept string")
-        cut = cut.groupBy("rid").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-        nothing = hashlib.sha256(b"").hexdigest()
-        out = base.join(cut, "rid", "left").join(copies.select("rid").distinct().withColumn("copy", F.lit(True)), "rid", "left")
-        if len(self.runs) >= self.fan_in:
+        single = win.where(F.col("part") == part).join(first, ["a", "b"]).where("doc > first").select("rid", "at", F.lit(span).alias("n"))
+
+        gone = ranges.union(single).groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
+        cut = mine.select("rid", "doc", "n_words", "sha", "text").join(gone, "rid", "left")
+        cut = cut.select("doc", "n_words", "sha", F.when(F.col("ats").isNotNull(), F.col("text")).alias("text"), "ats", "ns")
+        out = written(cut.mapInArrow(_cut, _KEPT), "kept")
+        discard(equal, shared, asked, places, win)
+        self.runs += 1
+        if self.runs >= self.fan_in:
             self.compact()
-        return out.select(
-            "doc",
-            "n_words",
-            F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        )
+        return out
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 5, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of all rows, filed in batches of rising ids, more than the index merges at once.
 
     Words covered by a window that also starts in a row with a smaller key go; windows are judged on the
-    input.  Null text: no words.  Rows with a null key neither lose words nor cost others any.  Rows with
-    equal keys don't cost each other words.  Texts of fewer than ``span`` words stay whole.
+    input.  Keys are whole numbers.  Null text: no words.  Rows with a null key neither lose words nor cost
+    others any.  Rows with equal keys, repeated rows too, don't cost each other words.  Texts of fewer than
+    ``span`` words stay whole; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    cuts = docs.where(F.col(key).isNotNull()).agg(F.percentile_approx(F.col(key).cast("long"), [i / batches for i in range(1, batches)] or [0.5])).first()[0]
+    k = F.col(key).cast("long")
+    cuts = docs.where(k.isNotNull()).agg(F.percentile_approx(k, [i / batches for i in range(1, batches)] or [0.5])).first()[0]
     cuts = sorted(set(cuts or []))[: batches - 1]
-    index = SubstringIndex(spark, span=span, gram=gram)
-    out, k = None, F.col(key).cast("long")
-    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+    index = SubstringIndex(docs.sparkSession, span, gram)
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs
         if low is not None:
             part = part.where(k > low)
         if high is not None:
-            part = part.where((k <= high) | k.isNull() if i == 0 else k <= high)
-        elif i == 0:
-            part = docs
-        got = index.add(part, None if low is None else docs.where(k <= low), key, text)
+            part = part.where((k <= high) | k.isNull() if low is None else k <= high)
+        got = index.add(part, key, text)
         out = got if out is None else out.union(got)
+    index.drop()
     return out.withColumnRenamed("doc", key)

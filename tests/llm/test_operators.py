@@ -395,7 +395,7 @@ def test_substrings(odd, none):
 
 def test_compacted_run_is_joined(spark, odd, monkeypatch):
     merged, plain = [], substrings.SubstringIndex.compact
-    monkeypatch.setattr(substrings.SubstringIndex, "compact", lambda self: (merged.append(self.count), plain(self)))
+    monkeypatch.setattr(substrings.SubstringIndex, "compact", lambda self: (merged.append(self.runs), plain(self)))
     rows = [(i, LONG if i % 3 else f"x{i} " + LONG, "en", "s", 1, 1, 1) for i in range(10)]
     docs = spark.createDataFrame(rows, DOCS)
     seen = lambda df: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
