@@ -12,25 +12,26 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (int) whose score for the key is highest; score = -weight / ln(u), u from a hash of key and shard.
 
     Only the key, the shard numbers and their weights decide.  A new shard wins just the keys for which its
-    own score is the highest, so rows only move into it; a row moves with chance weight / total weight.  A
-    shard of weight 0 gets nothing.  Equal scores go to the highest number.  A null key is a key of its own.
+    own score is the highest, so rows only move into it; a row moves with chance weight / total weight, and
+    never between shards whose weights stay.  A shard of weight 0 gets nothing.  Equal scores go to the
+    larger u, then to the highest number.  A null key is a key of its own.
     """
     if not weights or any(w < 0 for w in weights) or not any(weights):
         raise ValueError("weights must be 0 or more, one of them above 0")
     text = F.coalesce(key.cast("string"), F.lit("\0null"))
-    even = len(set(weights)) == 1
 
-    def score(i: int) -> Column:
-        h = F.xxhash64(text, F.lit(i))
+    def score(i: int) -> list[Column]:
+        top = F.shiftrightunsigned(F.xxhash64(text, F.lit(i)), 11)
         if even:  # the order of u is that of the score
-            return h
-        u = (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.lit(-float(weights[i])) / F.log(u)
+            return [top.alias("u")]
+        u = (top + F.lit(0.5)) / F.lit(float(1 << 53))
+        return [(F.lit(-float(weights[i])) / F.log(u)).alias("s"), top.alias("u")]
 
     used = [i for i, w in enumerate(weights) if w > 0]
+    even = len({weights[i] for i in used}) == 1
     if len(used) == 1:
         return F.lit(used[0])
-    return F.greatest(*[F.struct(score(i).alias("s"), F.lit(i).alias("i")) for i in used])["i"]
+    return F.greatest(*[F.struct(*score(i), F.lit(i).alias("i")) for i in used])["i"]
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * 40, name: str = "shard") -> DataFrame:
