@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import discard, new_path, written
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.0\r\n"
@@ -24,8 +24,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Bytes in which a record's header is looked for at first.
 HEADER = 1 << 16
-#: Bytes of an archive that a task searches.
-BLOCK = 8 << 20
+#: Bytes of a range of an archive, and of all ranges of a task.
+BLOCK, TASK = 8 << 20, 128 << 20
 
 
 def sha1_base32(body: Column) -> Column:
@@ -114,6 +114,9 @@ def parse_header(raw: bytes) -> dict[str, str] | None:
 def header_at(f: ByteFile, data: bytes, base: int, at: int) -> dict[str, str] | None:
     """The header at a place of the file, of which ``data`` begins at ``base``; a long one is read on in doubling steps."""
     n = HEADER
+    end = data.find(BLANK, at - base, at - base + n)
+    if end >= 0:
+        return parse_header(data[at - base : end + 4])
     raw = data[at - base : at - base + n]
     while len(raw) == n and raw.startswith(MAGIC) and BLANK not in raw and all(b":" in x for x in raw[len(MAGIC) :].split(b"\r\n")[:-1]):
         n *= 2
@@ -190,10 +193,15 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).where("size > 0")
     longest, total = files.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    tasks = max(1, math.ceil(total / block))
+    spread = 4 * spark.sparkContext.defaultParallelism  # as many tasks as keep all cores busy, or one for each 128 MB
+    tasks = max(1, math.ceil(total / max(block, TASK)), min(spread, math.ceil(total / block)))
     ranges = files.select("path", "size", F.explode(F.expr(f"sequence(0, (size - 1) div {block})")).alias("block"))
     ranges = ranges.select("path", (F.col("block") * block).alias("start"), F.least((F.col("block") + 1) * block, "size").alias("stop"))
-    hop = written(ranges.repartition(tasks, "path", "start").mapInArrow(_chains, "path string, at long, to long"), "chains")
+    chains = written(ranges.repartition(tasks, "path", "start").mapInArrow(_chains, "path string, at long, to long"), "chains")
+    # only where a chain of another range leads to can the true chain enter
+    led = chains.select("path", F.col("to").alias("at")).union(files.select("path", F.lit(0).cast("long").alias("at"))).distinct()
+    hop = written(chains.join(led, ["path", "at"], "left_semi"), "entries")
+    discard(chains)
     on = hop.select("path", "at").where("at = 0")
     for k in range(max(1, math.ceil(math.log2(max(1, longest / block)))) + 1):
         on = written(on.union(on.join(hop, ["path", "at"]).select("path", F.col("to").alias("at"))).distinct(), f"on{k}")
@@ -210,7 +218,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Archive a table of pages in the shared folder, read it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Size and digest are those of the full payload: of a response taken anew from what was read, of a revisit
-    those that its record states.
+    those that its record states.  See ``records`` for null ids, null and equal payloads and repeated rows;
+    an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = new_path(spark, "archives")
