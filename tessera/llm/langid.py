@@ -8,6 +8,7 @@ of its texts, each scaled to length one.  A text gets the language whose vector
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ CLASSES = 64
 UNKNOWN = "und"
 
 
+@cache
 def letter_classes() -> np.ndarray:
-    """Code point to class for the characters that a UTF-32 text can hold."""
+    """Code point to class for the characters that a UTF-32 text can hold; made once in a process."""
     table = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
         if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
@@ -72,8 +74,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     ``languages`` commonest languages (bounds that are these parameters).
 
     Rows with null text or language teach nothing.  The languages are counted without reading texts; then
-    each row is in the sample by a hash of its key and text and its language's share, so copies are drawn one by one.  Tasks return one sum for each
-    language, so the driver gets tasks x languages vectors.
+    each row is in the sample by a hash of its key and text and its language's share, so copies are drawn one
+    by one.  Sums of tasks are added up on executors in two steps; the driver gets one vector for each language.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"))
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
@@ -91,22 +93,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     total[k.as_py()] = total.get(k.as_py(), 0) + v / n
         yield pa.RecordBatch.from_pydict({"lang": pa.array(total, pa.string()), "v": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float32()))})
 
-    got = sample.mapInArrow(sums, "lang string, v array<float>").collect()
-    total = {}
-    for r in got:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"], np.float64)
+    def add(group):
+        return group.head(1).assign(v=[np.stack(group["v"].to_list()).sum(0, dtype=np.float64)])
+
+    parts = sample.mapInArrow(sums, "lang string, v array<float>").select("lang", F.col("v").cast("array<double>"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt"))
+    kind = "lang string, v array<double>, salt int"
+    got = parts.groupBy("lang", "salt").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind).collect()
+    total = {r["lang"]: np.array(r["v"]) for r in got}
     return {k: (v / np.sqrt(v @ v)).astype(np.float32) for k, v in sorted(total.items()) if v @ v > 0}
 
 
 def predict(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", dims: int = 1024, seed: int = 1) -> DataFrame:
-    """All rows and columns of ``df`` but the text, plus lang_pred and score, (1 + cosine) / 2.
+    """All rows and columns of ``df`` but the text, plus lang_pred and score, (1 + cosine) / 2; columns named so before are replaced.
 
     Null text, text without a letter, or a model without languages: ``und`` with score 0.  Ties go to the
     language that sorts first.  Every row is judged alone, from its whole text.
     """
     names = list(model)
     matrix = np.stack([model[k] for k in names]) if names else np.zeros((0, dims), np.float32)
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c != text and c.lower() not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(dims, seed)
@@ -125,7 +130,7 @@ def predict(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", dim
                 scores.append(float(min(1.0, max(0.0, (1 + cos[k]) / 2))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    left = df.select(*keep, text)
+    left = df.select(*[F.col(f"`{c}`") for c in (*keep, text)])
     schema = left.drop(text).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return left.mapInArrow(run, schema)
 
