@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Letters of scripts that don't set words apart.
@@ -147,12 +147,13 @@ def _matches(rate: float, least: int, items):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.06, least: int = 40, block_mb: int = 8, rid: Column | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.06, least: int = 40, block_mb: float = 8, rid: Column | None = None) -> DataFrame:
     """(rid, item_id, distance, match_end): each item within its error budget in each text, ``rid`` a hash of the text.
 
     Lengths and distances are in characters of normalized text; ``match_end`` is where the best match ends
     in it.  Items shorter than ``least`` normalized characters match only without errors and as whole words, those
-    without a letter or digit nothing; of equal items each id matches.  Null texts match nothing.
+    without a letter or digit nothing; of equal items each id matches.  Null and empty texts match nothing,
+    repeated rows match alike, and ids of items are whole numbers.  Results don't depend on the blocks.
 
     The items, a stated query set, are dealt into blocks of about ``block_mb`` MB by hash, and each block,
     bounded in size, is sent to the tasks that search all texts.
@@ -160,7 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("t is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / (block_mb << 20)))
+    blocks = max(1, math.ceil(size / (block_mb * (1 << 20))))
     rows = docs.select((F.xxhash64(text) if rid is None else rid).alias("rid"), F.col(text).alias("text"))
     out = None
     for k in range(blocks):
@@ -175,22 +176,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows whose text holds no item of the benchmark within its error budget, columns as they were.
+    """The rows whose text holds no item of the benchmark within its error budget, columns as they were, whatever their names.
 
     Null and empty texts stay; repeated rows share their fate.  Leaking texts are few: their hashes are
     written, and Spark broadcasts the file if it is below the threshold and else joins by a shuffle.
     """
-
-
+    rid = fresh(docs, "_rid")
     leaks = written(find_leaks(docs, benchmark, text, **options).select("rid").distinct(), "leaks")
-    out = docs.withColumn("_rid", F.xxhash64(text)).join(leaks.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
+    out = docs.withColumn(rid, F.xxhash64(text)).join(leaks.withColumnRenamed("rid", rid), rid, "left_anti")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(key, item_id, distance) for each leak of each row; a row without leaks has one line with nulls."""
-
+    """(key, item_id, distance, contaminated) for each leak of each row; a row without leaks has one line with nulls.
 
+    Repeated rows and rows with equal keys have lines of their own; see ``find_leaks`` for nulls and equal items.
+    """
     rows = docs.select(F.col(key), F.xxhash64(text).alias("rid"))
     leaks = written(find_leaks(docs, benchmark, text, **options).groupBy("rid", "item_id").agg(F.min("distance").alias("distance")), "leaks")
     return rows.join(leaks, "rid", "left").select(key, "item_id", "distance", F.col("item_id").isNotNull().alias("contaminated"))

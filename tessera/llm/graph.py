@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,10 +30,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "large")
+        discard(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # the edge (u, m) itself is among the rows, as the one with v = m
         e, last = written(small.distinct(), "edges"), mark
+        discard(large)
         mark = _mark(e)
         if mark == last:
             break

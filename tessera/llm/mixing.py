@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_sql, written
+from .common import fresh, words_sql, written
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order key that make a leaf's ranges: 16^3 of them.
@@ -113,8 +113,9 @@ def plan_mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], doma
 
 
 def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], domains: Mapping[str, str], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows taken, each as often as it is taken, with their columns as they were."""
+    """The rows taken, each as often as it is taken, with their columns as they were, whatever their names."""
+    rid, epoch = fresh(docs, "_rid"), fresh(docs, "_epoch")
     plan = plan_mixture(docs, weights, domains, key=key, text=text, **options)
-    times = written(plan.select(F.col("rid").alias("_rid"), F.col("epoch").alias("_epoch")).distinct(), "taken")
-    out = docs.withColumn("_rid", F.xxhash64(key, text)).join(times, "_rid")
+    times = written(plan.select(F.col("rid").alias(rid), F.col("epoch").alias(epoch)).distinct(), "taken")
+    out = docs.withColumn(rid, F.xxhash64(key, text)).join(times, rid)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

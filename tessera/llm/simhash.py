@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, fresh, written
 from .graph import connected_components
 
 #: A bucket with more distinct fingerprints than this is dealt out as pairs of chunks.
@@ -315,6 +315,7 @@ def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least:
     rule out more.  Two rounds compare each class with one head of each of its buckets, which ties large groups
     of near copies together; then all pairs of a bucket that aren't in one group yet are compared, buckets of more
     than ``chunk`` rows as pairs of chunks.  Every candidate is verified on whole texts, and no pair is lost.
+    Null and empty texts are one class; repeated rows have one ``rid``; an empty table gives no rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,9 +335,11 @@ def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least:
     classes = written(rows.groupBy("cls").agg(F.min("rid").alias("node")), "classes")
     texts = written(body.select(F.col("rid").alias("node"), "text").join(classes.select("node"), "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
     common = spark.sparkContext.broadcast(common_shingles(texts, classes.count(), shingle))
-    pre = written(with_prefixes(texts, common, shingle, least), "prefixes")
-    several = pre.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    pre = written(pre.join(several, "token"), "shared")
+    every = written(with_prefixes(texts, common, shingle, least), "prefixes")
+    common.destroy()
+    several = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    pre = written(every.join(several, "token"), "shared")
+    discard(every)
     checked, roots = None, None
 
     def check(pairs: DataFrame) -> None:
@@ -348,6 +351,7 @@ def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least:
         both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
         new = written(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long, ok boolean"), "checked")
         checked = new if checked is None else checked.union(new)
+        discard(pairs)
         roots = written(connected_components(checked.where("ok").select("src", "dst")), "roots")
 
     def open_rows() -> DataFrame:
@@ -367,6 +371,7 @@ def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least:
     tiles = rest.drop("p", "q").join(size, "token").withColumn("p", part).withColumn("tile", F.explode(tile))
     tiles = tiles.withColumn("bucket", F.xxhash64("token", "tile.i")).withColumn("q", F.col("tile.q"))
     check(_in_buckets(tiles, [F.col("node")], least, False))
+    discard(texts, pre, rest)
     named = classes.join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
     return rows.select("rid", "key", "cls").join(named, "cls").select("rid", "key", "root")
 
@@ -375,14 +380,16 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options
     """The rows that stay: of each group of similar texts, copies and repeated rows included, the one with the smallest key.
 
     Null keys come last, ties go by a hash of key and text, and of rows equal in both one stays.  Null and
-    empty texts are copies of each other.  Columns are as they were.
+    empty texts are copies of each other.  Columns are as they were, whatever their names.
     """
     groups = written(similar_groups(df, key, text, **options), "groups")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "rid")).alias("m")).select("root", F.col("m.rid").alias("stay"))
     gone = written(groups.join(best, "root").where("rid <> stay").select("rid").distinct(), "removed")
     again = written(groups.groupBy("rid").count().where("count > 1").select("rid").join(gone, "rid", "left_anti"), "repeated")
-    out = df.withColumn("_rid", F.xxhash64(key, text)).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
+    discard(groups)
+    rid = fresh(df, "_rid")
+    out = df.withColumn(rid, F.xxhash64(key, text)).join(gone.withColumnRenamed("rid", rid), rid, "left_anti")
     if again.limit(1).count():
-        more = again.withColumnRenamed("rid", "_rid")
-        out = out.join(more, "_rid", "left_anti").unionByName(out.join(more, "_rid", "left_semi").dropDuplicates(["_rid"]))
+        more = again.withColumnRenamed("rid", rid)
+        out = out.join(more, rid, "left_anti").unionByName(out.join(more, rid, "left_semi").dropDuplicates([rid]))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
