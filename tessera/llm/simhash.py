@@ -187,7 +187,7 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
 
 
-def common_shingles(texts: DataFrame, rows: int, shingle: int, sample: int = 20_000, share: float = 0.05, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, rows: int, shingle: int, sample: int = 20_000, share: float = 0.05, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that are common in a sample of (node, text): ``sample`` texts or a ``share`` of all.
 
     They only decide the order in which prefixes are taken; any order gives the same groups.
