@@ -18,6 +18,7 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "avg": lambda c: F.avg(c.cast("double")),
     "count_distinct": F.count_distinct,
     "sum_distinct": F.sum_distinct,
+    "avg_distinct": lambda c: F.try_divide(F.sum_distinct(c.cast("double")), F.count_distinct(c)),
     "median": F.median,
     "quantile": lambda c, q: F.percentile(c, q),
     "string_agg": lambda c, sep=",": F.array_join(F.array_sort(F.collect_list(c)), sep),

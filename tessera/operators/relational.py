@@ -50,14 +50,33 @@ def limit(df: DataFrame, count: int | None = None, offset: int = 0) -> DataFrame
     return df if count is None else df.limit(count)
 
 
+#: Bytes of a side that may be broadcast on request.
+BROADCAST_MOST = 256 << 20
+
+
+def partition_of(keys: Sequence[str], partitions: int) -> Column:
+    """The partition, from 0, that ``exchange`` by hash deals a row to; NULL keys have one too."""
+    return F.pmod(F.hash(*keys), F.lit(partitions))
+
+
+def split(df: DataFrame, keys: Sequence[str], partitions: int) -> list[DataFrame]:
+    """The rows of each partition of a dealing by hash."""
+    return [df.where(partition_of(keys, partitions) == i) for i in range(partitions)]
+
+
 def exchange(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """hash, round_robin, broadcast (a hint) or gather."""
+    """hash, round_robin, broadcast or gather.
+
+    Broadcast is a hint, given only if Spark's estimate of the rows' size is below ``BROADCAST_MOST``; beyond it
+    the planner chooses.  Gather makes one partition: for small results only.
+    """
     if kind == "hash":
         return df.repartition(*([partitions] if partitions else []), *keys)
     if kind == "round_robin" and partitions:
         return df.repartition(partitions)
     if kind == "broadcast":
-        return F.broadcast(df)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return F.broadcast(df) if size <= BROADCAST_MOST else df
     if kind == "gather":
         return df.coalesce(1)
     raise InvalidError(f"no exchange {kind!r}")
@@ -66,3 +85,20 @@ def exchange(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int
 def grouping(df: DataFrame, kind: str, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """cube, rollup or plain groups."""
     return {"cube": df.cube, "rollup": df.rollup, "groups": df.groupBy}[kind](*keys).agg(*aggregates)
+
+
+def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Groups by each of several sets of keys; a key that isn't in a set is NULL there."""
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*aggregates)
+
+
+def set_operation(left: DataFrame, right: DataFrame, kind: str, all_rows: bool = False) -> DataFrame:
+    """union, intersect or except by position; ``all_rows`` keeps repeats as often as SQL's ALL does."""
+    if kind not in ("union", "intersect", "except"):
+        raise InvalidError(f"no set operation {kind!r}")
+    if kind == "union":
+        out = left.union(right)
+        return out if all_rows else out.distinct()
+    if kind == "intersect":
+        return left.intersectAll(right) if all_rows else left.intersect(right)
+    return left.exceptAll(right) if all_rows else left.subtract(right)

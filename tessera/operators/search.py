@@ -1,8 +1,9 @@
-"""Exact nearest neighbours over a vector column."""
+"""Nearest neighbours over a vector column: exact, and by an index of lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidError
@@ -20,15 +21,64 @@ def knn(base: DataFrame, query: list[float], k: int, key: str = "vec_id", column
     return out.orderBy("distance", key).limit(k)
 
 
-def knn_batch(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", metric: str = "l2", blocks: int = 32) -> DataFrame:
+def _best(near: DataFrame, k: int, key: str, part: list[str]) -> DataFrame:
+    w = Window.partitionBy(*part).orderBy("distance", key)
+    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def knn_batch(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", metric: str = "l2", blocks: int = 32, block: int = 256) -> DataFrame:
     """(query key, key, distance): the k nearest of each of a stated set of queries, against all rows.
 
-    The base is dealt into blocks; each block keeps its k best for each query, and only those are merged.
+    Queries are gathered into blocks of about ``block`` vectors, and each row meets a block as one array: what is
+    sent around is a list of blocks, never a row for each pair until the nearest are known.  The base is dealt into
+    ``blocks``; each keeps its k best for each query, and only those are merged.
+    """
+    q = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("query"), F.col(column).alias("v"))
+    many = max(1, -(-q.count() // block))
+    q = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(many)).alias("_q")).agg(F.collect_list(F.struct("query", "v")).alias("qs"))
+    b = base.where(F.col(column).isNotNull()).select(key, column, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_q"))
+    pairs = b.join(q, "_q").select(key, "_block", column, F.explode("qs").alias("x"))
+    near = pairs.select("x.query", key, "_block", METRICS[metric](F.col(column), F.col("x.v")).alias("distance"))
+    return _best(_best(near, k, key, ["query", "_block"]), k, key, ["query"]).drop("_block")
+
+
+class VectorIndex:
+    """An index for approximate nearest neighbours: vectors are listed under their nearest centroid, a search looks into a few lists.
+
+    The centroids come from ``rounds`` of k-means over a sample of about ``sample`` rows, a bound that is this
+    parameter; every row is listed, under its ``copies`` nearest centroids.  With ``probes`` as many as there are lists the search is exact.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(column).alias("_q"))
-    b = base.where(F.col(column).isNotNull()).select(key, column, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    near = b.join(q, METRICS[metric](F.col(column), F.col("_q")).isNotNull()).select("query", key, "_block", METRICS[metric](F.col(column), F.col("_q")).alias("distance"))
-    for part in (["query", "_block"], ["query"]):
-        w = Window.partitionBy(*part).orderBy("distance", key)
-        near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
-    return near.drop("_block")
+
+    def __init__(self, base: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 8, copies: int = 1, key: str = "vec_id", column: str = "embedding", seed: int = 5):
+        self.key, self.column, self.copies = key, column, copies
+        rows = base.where(F.col(column).isNotNull()).select(key, column)
+        n = rows.count()
+        part = rows.sample(False, min(1.0, sample / max(1, n)), seed).select(column).toArrow()
+        x = np.array(part.column(0).to_pylist(), np.float64)
+        self.centroids = self._fit(x, min(lists, max(1, len(x))), rounds, seed)
+        self.table = rows.withColumn("list", F.explode(self._nearest(F.col(column), copies))) if len(x) else rows.withColumn("list", F.lit(0))
+
+    @staticmethod
+    def _fit(x: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
+        if not len(x):
+            return x
+        c = x[np.random.default_rng(seed).choice(len(x), lists, replace=False)]
+        for _ in range(rounds):
+            near = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1)
+            c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(lists)])
+        return c
+
+    def _nearest(self, v: Column, n: int) -> Column:
+        """Numbers of the n nearest centroids."""
+        all_of = F.array(*[F.array(*[F.lit(float(y)) for y in c]) for c in self.centroids])
+        ranked = F.array_sort(F.transform(all_of, lambda c, i: F.struct(vector.l2(v, c).alias("d"), i.alias("i"))))
+        return F.transform(F.slice(ranked, 1, n), lambda s: s["i"])
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8, metric: str = "l2") -> DataFrame:
+        """(query, key, distance): the k nearest that the ``probes`` nearest lists hold, for each query."""
+        q = queries.where(F.col(self.column).isNotNull()).select(F.col(self.key).alias("query"), F.col(self.column).alias("_v"))
+        if not len(self.centroids):
+            return q.join(self.table, F.lit(False)).select("query", self.key, F.lit(0.0).alias("distance"))
+        q = q.withColumn("list", F.explode(self._nearest(F.col("_v"), probes)))
+        near = self.table.join(q, "list").select("query", self.key, METRICS[metric](F.col(self.column), F.col("_v")).alias("distance"))
+        return _best(near.distinct() if self.copies > 1 else near, k, self.key, ["query"])

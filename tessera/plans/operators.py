@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions.aggregates import aggregate, run_count, run_sum, window
 from ..functions.scalar import call
 from ..operators import relational as R
 from ..operators import search
 from ..streaming import windows
+from ..streaming.ingest import AppendTable, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,9 +48,29 @@ add("scan_projection", "select l_orderkey, l_quantity from lineitem")(lambda s,
 add("scan_pushed_filter", "select o_orderkey, o_totalprice from orders where o_totalprice > 200000 and o_orderstatus = 'F'")(
     lambda s, d: table(s, d, "orders").where("o_totalprice > 200000 and o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 )
-add("base_and_delta", "select event_id, value from events")(
-    lambda s, d: table(s, d, "events").where("event_id < 500").unionByName(table(s, d, "events").where("event_id >= 500")).select("event_id", "value")
-)
+
+
+def _base_and_delta(s: SparkSession, d: str) -> DataFrame:
+    """An append table with a base, a compacted and a fresh delta."""
+    rows = table(s, d, "events").select("event_id", "value")
+    t = AppendTable(s, work_folder(s, "base-and-delta"))
+    t.create(rows.schema)
+    t.append(rows.where("event_id < 500"), "base")
+    t.append(rows.where("event_id >= 500 and event_id % 3 = 0"))
+    t.append(rows.where("event_id >= 500 and event_id % 3 = 1"))
+    t.compact()
+    t.append(rows.where("event_id >= 500 and event_id % 3 = 2"))
+    return t.read()
+
+
+add("base_and_delta", "select event_id, value from events")(_base_and_delta)
+
+
+def _import(s: SparkSession, d: str) -> DataFrame:
+    return Engine(s).import_parquet("imported_customer", f"{d}/customer.parquet", ["c_custkey", "c_mktsegment"])
+
+
+add("import_parquet", "select c_custkey, c_mktsegment from customer")(_import)
 add("external_source", "select * from (values (1, 'apple', 0.5), (2, 'banana', 1.5), (null, 'cherry', 2.5)) t(a, s, d)")(
     lambda s, d: s.createDataFrame([(1, "apple", 0.5), (2, "banana", 1.5), (None, "cherry", 2.5)], "a int, s string, d double")
 )
@@ -89,6 +112,10 @@ scalar("fn_cast", "part", "p_partkey", {
     "s": (lambda: call("cast", c("p_size"), "string"), "p_size::varchar"), "n": (lambda: call("cast", c("p_name"), "bigint"), "try_cast(p_name as bigint)"),
     "d": (lambda: call("cast", c("p_retailprice"), "decimal(18,2)"), "p_retailprice::decimal(18,2)"),
 })
+scalar("fn_cast_time", "orders", "o_orderkey", {
+    "d": (lambda: call("cast", F.date_format("o_orderdate", "yyyy-MM-dd"), "date"), "o_orderdate::date"), "b": (lambda: call("cast", c("o_orderpriority"), "date"), "null::date"),
+    "t": (lambda: call("cast", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "timestamp_ntz"), "date_trunc('second', o_orderdate)"),
+})
 scalar("fn_string", "part", "p_partkey", {
     "lk": (lambda: call("like", c("p_name"), "%a_e%"), "p_name like '%a_e%'"), "st": (lambda: call("starts_with", c("p_brand"), "Brand"), "starts_with(p_brand, 'Brand')"),
     "en": (lambda: call("ends_with", c("p_name"), "e"), "ends_with(p_name, 'e')"), "ct": (lambda: call("contains", c("p_type"), "O"), "contains(p_type, 'O')"),
@@ -158,19 +185,32 @@ add("join_salted", "select o_orderkey, n_name from (select o_orderkey, o_custkey
 
 # aggregates
 
+
+
+def _by_flag(s: SparkSession, d: str):
+    return table(s, d, "lineitem").groupBy("l_returnflag")
+
+
 add("agg_all", "select l_returnflag, sum(l_partkey)::bigint as si, round(sum(l_tax), 4) as sf, sum(l_quantity::decimal(12,2)) as sd, count(l_tax) as n, count(*) as ns, min(l_shipdate)::date as lo, max(l_linestatus) as hi, round(avg(l_partkey), 6) as av, count(distinct l_partkey) as cd, sum(distinct l_linenumber)::bigint as sdi, median(l_quantity) as md, quantile_cont(l_quantity, 0.9) as q9, round(stddev(l_quantity), 6) as st, round(variance(l_quantity), 6) as va from lineitem group by l_returnflag")(
-    lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(
+    lambda s, d: _by_flag(s, d).agg(
         aggregate("sum", c("l_partkey")).alias("si"), F.round(aggregate("sum", c("l_tax")), 4).alias("sf"), aggregate("sum", c("l_quantity").cast("decimal(12,2)")).alias("sd"), aggregate("count", c("l_tax")).alias("n"),
         aggregate("count_star").alias("ns"), aggregate("min", c("l_shipdate")).cast("date").alias("lo"), aggregate("max", c("l_linestatus")).alias("hi"), F.round(aggregate("avg", c("l_partkey")), 6).alias("av"),
-        aggregate("count_distinct", c("l_partkey")).alias("cd"), aggregate("sum_distinct", c("l_linenumber")).alias("sdi"), aggregate("median", c("l_quantity")).alias("md"), aggregate("quantile", c("l_quantity"), 0.9).alias("q9"),
-        F.round(aggregate("stddev", c("l_quantity")), 6).alias("st"), F.round(aggregate("variance", c("l_quantity")), 6).alias("va"),
+        F.round(aggregate("stddev", c("l_quantity")), 6).alias("st"), F.round(aggregate("variance", c("l_quantity")), 6).alias("va"), aggregate("median", c("l_quantity")).alias("md"), aggregate("quantile", c("l_quantity"), 0.9).alias("q9"),
     )
+    # each distinct aggregate alone: together they would multiply the rows
+    .join(_by_flag(s, d).agg(aggregate("count_distinct", c("l_partkey")).alias("cd")), "l_returnflag").join(_by_flag(s, d).agg(aggregate("sum_distinct", c("l_linenumber")).alias("sdi")), "l_returnflag")
 )
+add("agg_avg_distinct", "select l_linestatus, round(avg(distinct l_linenumber), 6) as a, count(*) as n from lineitem group by l_linestatus")(
+    lambda s, d: table(s, d, "lineitem").groupBy("l_linestatus").agg(F.round(aggregate("avg_distinct", c("l_linenumber")), 6).alias("a"), F.count("*").alias("n"))
+)
+add("agg_grouping_sets", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus), ())")(
+    lambda s, d: R.grouping_sets(table(s, d, "lineitem"), [["l_returnflag", "l_linestatus"], ["l_linestatus"], []], ["l_returnflag", "l_linestatus"], F.count("*").alias("n"))
+)
 add("agg_string", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")(
     lambda s, d: table(s, d, "nation").groupBy("n_regionkey").agg(aggregate("string_agg", c("n_name")).alias("names"))
 )
-add("agg_approx_distinct", "select event_type, true as near from events group by event_type")(
-    lambda s, d: table(s, d, "events").groupBy("event_type").agg(aggregate("approx_count_distinct", c("user_id")).alias("a"), F.count_distinct("user_id").alias("b")).select("event_type", (F.abs(c("a") - c("b")) <= 0.2 * c("b")).alias("near"))
+add("agg_approx_distinct", "select event_type, count(distinct user_id) as users, true as near from events group by event_type")(
+    lambda s, d: table(s, d, "events").groupBy("event_type").agg(aggregate("approx_count_distinct", c("user_id")).alias("a"), F.count_distinct("user_id").alias("b")).select("event_type", c("b").alias("users"), (F.abs(c("a") - c("b")) <= 0.2 * c("b")).alias("near"))
 )
 add("agg_global_empty", "select count(*) as n, sum(l_quantity) as s from lineitem where l_quantity < 0")(lambda s, d: table(s, d, "lineitem").where("l_quantity < 0").agg(aggregate("count_star").alias("n"), aggregate("sum", c("l_quantity")).alias("s")))
 add("agg_null_and_expression_keys", "select case when value > 50 then event_type end as k, user_id % 10 as u, count(*) as n from events group by 1, 2")(
@@ -202,7 +242,7 @@ add("window_lag_lead", f"select event_id, lag(value, 2) {_w} as a, lead(event_ty
 add("window_running", f"select event_id, round(sum(value) {_over}, 4) as s, round(avg(value) {_over}, 10) as a, min(value) {_over} as lo, max(value) {_over} as hi, count(*) {_over} as n from events")(
     lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_by()), 4).alias("s"), F.round(window("avg", c("value"), **_by()), 10).alias("a"), window("min", c("value"), **_by()).alias("lo"), window("max", c("value"), **_by()).alias("hi"), window("count", **_by()).alias("n"))
 )
-add("window_whole", "select event_id, round(sum(value) over (partition by user_id), 4) as s, count(*) over (partition by user_id) as n from events")(lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_whole), 4).alias("s"), window("count", **_whole).alias("n")))
+add("window_whole", "select event_id, round(sum(value) over w, 4) as s, round(avg(value) over w, 8) as a, min(value) over w as lo, max(value) over w as hi, count(*) over w as n from events window w as (partition by user_id)")(lambda s, d: table(s, d, "events").select("event_id", F.round(window("sum", c("value"), **_whole), 4).alias("s"), F.round(window("avg", c("value"), **_whole), 8).alias("a"), window("min", c("value"), **_whole).alias("lo"), window("max", c("value"), **_whole).alias("hi"), window("count", **_whole).alias("n")))
 add("window_no_partition", "select n_nationkey, row_number() over (order by n_name) as rn, count(*) over () as n from nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", window("row_number", order=[c("n_name")]).alias("rn"), window("count").alias("n")))
 add("window_null_key", "select event_id, count(*) over (partition by case when value > 50 then event_type end) as n from events")(lambda s, d: table(s, d, "events").select("event_id", window("count", partition=[F.when(c("value") > 50, c("event_type"))]).alias("n")))
 
@@ -215,6 +255,21 @@ add("top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice
 add("limit_offset", "select c_custkey from customer order by c_custkey limit 10 offset 20")(lambda s, d: R.limit(R.sort(table(s, d, "customer").select("c_custkey"), ("c_custkey", True)), 10, 20))
 add("offset_only", "select c_custkey from customer order by c_custkey offset 100")(lambda s, d: R.limit(R.sort(table(s, d, "customer").select("c_custkey"), ("c_custkey", True)), None, 100))
 add("exchange_hash", "select o_custkey, count(*) as n from orders group by o_custkey")(lambda s, d: R.exchange(table(s, d, "orders"), "hash", ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("n")))
+for _kind in ("round_robin", "broadcast", "gather"):
+    add(f"exchange_{_kind}", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where o_totalprice > 200000")(
+        lambda s, d, kind=_kind: table(s, d, "orders").where("o_totalprice > 200000").join(R.exchange(table(s, d, "customer"), kind, partitions=6), c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_name")
+    )
+add("exchange_partition_of", "select o_custkey, count(*) as n, 1 as parts, true as inside from orders group by o_custkey")(
+    lambda s, d: table(s, d, "orders").withColumn("p", R.partition_of(["o_custkey"], 7)).groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("p").cast("int").alias("parts"), F.bool_and(c("p").between(0, 6)).alias("inside"))
+)
+add("exchange_split", "select o_orderkey from orders")(lambda s, d: reduce(DataFrame.union, R.split(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], 5)).select("o_orderkey"))
+add("sort_ascending_nulls_last", "select event_id, case when value > 50 then value end as v from events order by v asc nulls last, event_id desc limit 900")(
+    lambda s, d: R.limit(R.sort(table(s, d, "events").select("event_id", F.when(c("value") > 50, c("value")).alias("v")), ("v", True), ("event_id", False)), 900)
+)
+for _kind in ("union", "intersect", "except"):
+    add(f"{_kind}_all", f"select c_nationkey as k from customer {_kind} all select s_nationkey from supplier")(
+        lambda s, d, kind=_kind: R.set_operation(table(s, d, "customer").select(c("c_nationkey").alias("k")), table(s, d, "supplier").select("s_nationkey"), kind, True)
+    )
 add("union_distinct", "select n_nationkey as k from nation union select r_regionkey from region")(lambda s, d: table(s, d, "nation").select(c("n_nationkey").alias("k")).union(table(s, d, "region").select("r_regionkey")).distinct())
 add("intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier")(lambda s, d: table(s, d, "customer").select(c("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select("s_nationkey")))
 add("except", "select n_nationkey as k from nation except select r_regionkey from region")(lambda s, d: table(s, d, "nation").select(c("n_nationkey").alias("k")).subtract(table(s, d, "region").select("r_regionkey")))
@@ -227,7 +282,10 @@ _DIST = {"l2": "list_distance(e.embedding::double[], q.embedding::double[])", "i
 def _knn(metric: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         base = table(s, d, "embeddings")
-        q = base.where("vec_id = 0").first()["embedding"]
+        q = base.where("vec_id = 0").first()
+        if q is None:
+            return base.limit(0).select("vec_id", F.lit(0.0).alias("distance"))
+        q = q["embedding"]
         return search.knn(base, q, 10, metric=metric).select("vec_id", F.round("distance", 5).alias("distance"))
 
     return run
@@ -239,11 +297,18 @@ add("vector_join", f"select query, vec_id from (select q.vec_id as query, e.vec_
     lambda s, d: search.knn_batch(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 50 = 0"), 5).select("query", "vec_id")
 )
 
+add("vector_index", f"select query, vec_id from (select q.vec_id as query, e.vec_id, row_number() over (partition by q.vec_id order by {_DIST['l2']}, e.vec_id) as n from embeddings e, embeddings q where q.vec_id % 50 = 0) where n <= 5")(
+    lambda s, d: search.VectorIndex(table(s, d, "embeddings"), 16).search(table(s, d, "embeddings").where("vec_id % 50 = 0"), 5, probes=16).select("query", "vec_id")
+)
+
 # event time
 
 add("time_tumbling", "select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n from events group by 1, 2")(
     lambda s, d: windows.tumbling(table(s, d, "events"), "ts", "1 day", ["event_type"], F.count("*").alias("n")).select("window_start", "event_type", "n")
 )
+add("time_sliding", "select window_start, event_type, count(*) as n from (select unnest([time_bucket(interval 12 hour, ts), time_bucket(interval 12 hour, ts) - interval 12 hour]) as window_start, event_type from events) group by 1, 2")(
+    lambda s, d: windows.tumbling(table(s, d, "events"), "ts", "1 day", ["event_type"], F.count("*").alias("n"), slide="12 hours").select("window_start", "event_type", "n")
+)
 add("time_sessions", """
 with a as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as b from events window w as (partition by user_id order by ts)),
 g as (select user_id, ts, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from a)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,16 @@ from . import clicks, operators, tpch
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_NAMES = re.compile(r"\b(from|join)(\s+)(" + "|".join(TABLES) + r")\b", re.IGNORECASE)
+
+
 def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """SQL over the Parquet tables of a folder."""
+    """SQL over the Parquet tables of a folder; views of the user's with the same names stay as they are."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            if name in text:
-                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(text)
+        used = sorted({m[3] for m in _NAMES.finditer(text)})
+        tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used}
+        return spark.sql(_NAMES.sub(lambda m: f"{m[1]}{m[2]}{{{m[3]}}}", text), **tables)
 
     return run
 

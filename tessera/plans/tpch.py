@@ -56,7 +56,7 @@ select c_custkey, c_name, round(sum({REV}), 2) as revenue, c_acctbal, n_name fro
 group by c_custkey, c_name, c_acctbal, n_name order by revenue desc, c_custkey limit 20""",
     "tpch_q11": """
 with v as (select l_partkey, sum(l_extendedprice) as value from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where n_regionkey = 2 group by l_partkey)
-select l_partkey, round(value, 2) as value from v where value > (select sum(value) * 0.002 from v)""",
+select l_partkey, round(value, 2) as value from v where value > (select avg(value) * 2 from v)""",
     "tpch_q12": """
 select l_returnflag, sum(case when o_orderpriority = '1-URGENT' or o_orderpriority = '2-HIGH' then 1 else 0 end) as high_line_count,
   sum(case when o_orderpriority <> '1-URGENT' and o_orderpriority <> '2-HIGH' then 1 else 0 end) as low_line_count
@@ -98,5 +98,5 @@ where o_orderstatus = 'F' and l1.l_returnflag = 'R'
 group by s_name order by numwait desc, s_name limit 100""",
     "tpch_q22": """
 select c_nationkey, count(*) as numcust, round(sum(c_acctbal), 2) as totacctbal from customer
-where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select * from orders where o_custkey = c_custkey and o_totalprice > 150000) group by c_nationkey""",
+where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select * from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'F') group by c_nationkey""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InvalidError, NotSupportedError
 
@@ -28,6 +28,19 @@ def to_matrix(df: DataFrame) -> np.ndarray:
     return np.hstack(parts)
 
 
+def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
+    return spark.createDataFrame(table)
+
+
+def from_matrix(spark: SparkSession, data, names: list[str] | None = None) -> DataFrame:
+    """A column for each column of a 2-D array, tensor or other DLPack object; ``names``: c0, c1 and so on."""
+    a = data if isinstance(data, np.ndarray) else np.from_dlpack(data)
+    if a.ndim != 2:
+        raise InvalidError(f"{a.ndim} dimensions aren't two")
+    names = names or [f"c{i}" for i in range(a.shape[1])]
+    return spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(x)) for x in a.T], names=names))
+
+
 def to_torch(df: DataFrame):
     try:
         import torch

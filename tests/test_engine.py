@@ -1,14 +1,23 @@
+import datetime
+import json
+import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import capabilities
 from tessera.engine import Engine
-from tessera.errors import InvalidError, NotFoundError, NotSupportedError
+from tessera.errors import CorruptError, InvalidError, NotFoundError, NotSupportedError
 from tessera.functions.aggregates import aggregate
 from tessera.functions.scalar import call
 from tessera.operators import relational as R
 from tessera.operators import search
+from tessera.plans import registry
+from tessera.sources import export
+from tessera.streaming import windows
 from tessera.streaming.ingest import AppendTable
 
 
@@ -44,9 +53,60 @@ def test_torn_append_leaves_nothing(engine, spark):
 def test_two_writers(engine, spark):
     table = engine.create_table("w", spark.range(1).schema)
     m = table.manifest()
-    table._commit(m["version"] + 1, [], m["schema"])
+    table._commit(m | {"version": 2})
     with pytest.raises(InvalidError):
-        table._commit(m["version"] + 1, [], m["schema"])
+        table._commit(m | {"version": 2})
+
+
+def test_concurrent_writers_lose_nothing(engine, spark):
+    table = engine.create_table("cw", spark.range(1).schema)
+    tables = [AppendTable(spark, table.path) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: tables[i].append(spark.range(i * 10, i * 10 + 10)), range(4)))
+    assert table.read().distinct().count() == 40 and table.versions() == [1, 2, 3, 4, 5]
+
+
+def test_damage_is_found(engine, spark):
+    table = engine.create_table("dm", spark.range(1).schema)
+    engine.append("dm", spark.range(5000))
+    assert table.damaged() == []
+    part = table.manifest()["parts"][0]
+    file = next(Path(table.path, part["name"]).glob("part-*"))
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 255
+    file.write_bytes(data)
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match=r"(?i)crc|checksum|corrupt"):
+        table.read().agg(F.sum("id")).collect()
+    file.write_bytes(data[:-20])
+    assert table.damaged() == [part["name"]]
+    manifest = Path(table.path, "manifests", "000000000002.json")
+    manifest.write_text(manifest.read_text().replace("delta", "gamma", 1))
+    for crc in manifest.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(CorruptError):
+        table.manifest()
+
+
+def test_drop_create_snapshot_and_budget(engine, spark):
+    table = engine.create_table("dc", spark.range(1).schema)
+    for i in range(4):
+        engine.append("dc", spark.range(i + 1))
+    at = engine.snapshot()["dc"]
+    assert not table.compact_over(parts=4) and table.compact_over(parts=3) and not table.compact_over(parts=0)
+    assert [p["kind"] for p in table.manifest()["parts"]] == ["base"] and table.read(at).count() == table.read().count() == 10
+    stop = table.compactor(every=0.05, parts=0)
+    engine.append("dc", spark.range(2))
+    for _ in range(200):
+        if [p["kind"] for p in table.manifest()["parts"]] == ["base", "base"]:
+            break
+        time.sleep(0.05)
+    stop()
+    assert [p["kind"] for p in table.manifest()["parts"]] == ["base", "base"] and table.read().count() == 12
+    engine.drop_table("dc")
+    engine.create_table("dc", spark.range(1).schema)
+    assert engine.query("select * from dc").to_arrow().num_rows == 0
 
 
 def test_stream_into_table(engine, spark, tmp_path):
@@ -55,6 +115,30 @@ def test_stream_into_table(engine, spark, tmp_path):
     stream = spark.readStream.schema(spark.range(1).schema).parquet(str(tmp_path / "in"))
     table.sink(stream, str(tmp_path / "check")).awaitTermination()
     assert table.read().count() == 40
+    table.sink(stream, str(tmp_path / "other")).awaitTermination()  # another stream whose batches have the same numbers
+    assert table.read().count() == 80
+    table.compact()
+    (tmp_path / "check" / "commits" / "0").unlink()  # as if the writer had died before it noted the batch
+    for crc in (tmp_path / "check" / "commits").glob(".0.crc"):
+        crc.unlink()
+    table.sink(stream, str(tmp_path / "check")).awaitTermination()
+    assert table.read().count() == 80 and [p["kind"] for p in table.manifest()["parts"]] == ["base"]
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "in"))
+    table.sink(stream, str(tmp_path / "check")).awaitTermination()
+    assert table.read().count() == 85
+
+
+def test_watermark_drops_what_is_late(spark, tmp_path):
+    rows = lambda *minutes: spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, m), "a") for m in minutes], "ts timestamp, k string")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windows.tumbling(stream, "ts", "10 minutes", ["k"], F.count("*").alias("n"), late="5 minutes")
+    got = []
+    for minutes in ((1, 2, 12), (31,), (3, 32), (50,)):  # minute 3 comes when its window is closed
+        rows(*minutes).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = out.writeStream.outputMode("append").foreachBatch(lambda df, i: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.window_start.minute, r.n) for r in got) == [(0, 2), (10, 1), (30, 2)]
 
 
 def test_catalog_and_errors(engine, spark):
@@ -84,8 +168,51 @@ def test_metrics_explain_and_export(engine, spark):
             engine.query(bad).to_matrix()
 
 
-def test_capabilities(spark):
+def test_scan_metrics(engine, spark, sf):
+    engine.import_parquet("li", f"{sf}/lineitem.parquet", max_rows=None)
+    n = engine.query("select l_orderkey, count(*) as n from li where l_quantity > 10 group by l_orderkey").to_arrow().num_rows
+    m = engine.metrics()
+    assert m["rows_output"] == n and m["files_scanned"] == 1 and m["files_pruned"] == 0 and m["rows_scanned"] > n and m["shuffle_bytes"] > 0 and m["bytes_scanned"] > 0
+    assert json.loads(engine.metrics_json())["query_id"] == m["query_id"]
+    assert engine.import_parquet("few", f"{sf}/lineitem.parquet", ["l_tax"], 7).collect() and engine.query("select * from few").to_tsv().count("\n") == 8
+
+
+def test_arrow_and_matrix_import(spark):
+    import pyarrow as pa
+
+    assert export.from_arrow(spark, pa.table({"a": [1, None], "s": ["x", "y"]})).collect() == [(1, "x"), (None, "y")]
+    a = np.arange(6.0).reshape(3, 2)
+    assert np.array_equal(export.to_matrix(export.from_matrix(spark, a)), a)
+    with pytest.raises(InvalidError):
+        export.from_matrix(spark, np.arange(3))
+
+
+def test_vector_index_recall(spark, sf):
+    base = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = base.where("vec_id % 50 = 0")
+    exact = {(r.query, r.vec_id) for r in search.knn_batch(base, asked, 10).collect()}
+    index = search.VectorIndex(base, lists=32)
+    assert index.table.count() == base.where("embedding is not null").count()
+    found = {(r.query, r.vec_id) for r in index.search(asked, 10, probes=20).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    few = {(r.query, r.vec_id) for r in search.knn_batch(base, asked, 10, block=3, blocks=2).collect()}
+    assert few == exact
+    assert search.VectorIndex(base.limit(0)).search(asked, 3).count() == 0
+
+
+def test_views_of_the_user_stay(spark, sf):
+    spark.range(3).createOrReplaceTempView("orders")
+    registry.queries()["tpch_q4"](spark, sf).collect()
+    assert spark.table("orders").count() == 3
+    spark.catalog.dropTempView("orders")
+
+
+def test_capabilities(spark, tmp_path):
     known = capabilities.capabilities()
+    assert known["type:null"] == "unsupported" and known["type:uint32"] == "composed"
+    assert capabilities.gaps(["type:null", "fn:unheard_of", "fn:add"]) == {"type:null": "no type of Spark's holds it", "fn:unheard_of": "unknown name"}
+    capabilities.save(str(tmp_path / "c.tsv"))
+    assert capabilities.load(str(tmp_path / "c.tsv")) == known
     assert known["join:full"] == "native" and capabilities.level(["rel:read", "fn:concat"]) == "composed"
     assert capabilities.level(["fn:unheard_of"]) == "unsupported"
     assert capabilities.listing(spark).count() == len(known)

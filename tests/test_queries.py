@@ -1,11 +1,20 @@
+import os
+
 import pytest
 
 from tessera.plans import registry
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+#: Queries that have no row on the smallest tables.
+EMPTY_HERE = {"click_q19", "click_q37", "click_q38", "click_q41", "click_q42", "join_residual", "tpch_q7"} if SF.endswith("sf0.001") else set()
+
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_same_as_sql(name, same):
-    same(registry.queries()[name], registry.oracle_sql()[name])
+    rows = same(registry.queries()[name], registry.oracle_sql()[name])
+    assert rows or name in EMPTY_HERE
 
 
 def test_pushed_filter_and_pruned_columns(spark, sf):
