@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, mixing, quality, queries, scoring, sharding, simhash, substrings, urls, warc
+from tessera.llm import attention, decontam, langid, mixing, quality, queries, scoring, sharding, simhash, substrings, urls, warc
 from tessera.llm.attention import Model
 from tessera.llm.common import id_crc
 from tessera.llm.graph import connected_components
@@ -228,6 +228,51 @@ def test_gradients():
         assert abs((loss[0] - loss[1]) / 2e-2 / n - g[name][i]) < 1e-4 + 0.05 * abs(g[name][i])
 
 
+def slow_log10(net, ids):
+    """One position after the other, each looking back at its own block and the one before."""
+    p, end, w, total = net.p, net.v - 1, net.width, 0.0
+    x, y = [end, *ids], [*ids, end]
+    for t in range(len(x)):
+        back = range(max(0, (t // attention.BLOCK - 1) * attention.BLOCK), t + 1)
+        s = np.exp([p["q"][x[t]] @ p["key"][x[j]] + p["far"][t - j] for j in back])
+        mixed = (s / s.sum()) @ np.array([p["val"][x[j]] for j in back])
+        h = np.maximum(p["own"][x[t]] + p["prev"][x[t - 1] if t else end] + mixed @ p["out"] + p["b"], 0)
+        for level in range(attention.LEVELS):
+            node, branch = y[t] // w ** (attention.LEVELS - level), y[t] // w ** (attention.LEVELS - 1 - level) % w
+            e = np.exp(h @ p[f"w{level}"][node] + p[f"b{level}"][node] + net.pad[level][node])
+            total += math.log10(e[branch] / e.sum())
+    return total
+
+
+def test_attention_against_loops():
+    r = np.random.default_rng(6)
+    net = Model(70, 8, 4, logs=np.log(np.arange(1, 71) / 2485), seed=2)
+    for name in net.p:
+        net.p[name] = net.p[name] + r.normal(0, 0.2, net.p[name].shape).astype(np.float32)
+    texts = [r.integers(0, 69, n).astype(np.int32) for n in (0, 1, 5, 31, 32, 33, 64, 150)]
+    assert np.allclose(net.log10(texts), [slow_log10(net, t) for t in texts], rtol=1e-4)
+
+
+def test_no_look_ahead():
+    """What is known of a place doesn't change with what comes later."""
+    net, r = Model(30, 8, 4, seed=5), np.random.default_rng(1)
+    a = r.integers(0, 29, 100).astype(np.int32)
+    for cut in (0, 1, 31, 32, 70, 99):
+        b = a.copy()
+        b[cut:] = r.integers(0, 29, 100 - cut)
+        rows = []
+        for t in (a, b):
+            x, place, _, _, first = net.layout([t])
+            rows.append(net.hidden(x, place, first)[0][: cut + 1])
+        assert np.allclose(rows[0], rows[1], atol=1e-6)
+
+
+def test_better_than_the_base_on_held_out_texts(spark):
+    """On the smallest tables, 140,000 training subwords, the base is better: the model has to spell words it never saw."""
+    out = queries.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert out[0] / out[2] > out[1] / out[2] + 0.05
+
+
 def test_full_subword_cache():
     ids, logs = list(range(200, 700)), {b"the": -1.0, b"and": -2.0}
     words = [f"word{i % 90}".encode() for i in range(400)] + [b"the", "\u00e9\u00df".encode(), b"and", b"the"]
