@@ -185,7 +185,7 @@ class Model:
     def _gather(self, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
         """Sum of the gradients of each token."""
         out = np.zeros((self.v, grads.shape[1]), np.float32)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # by radix
         at = ids[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         out[at[starts]] = np.add.reduceat(grads[order], starts, axis=0)

@@ -27,8 +27,8 @@ from .common import written
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step, words that are scored at once.
-SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "rate": 0.01, "score_words": 10_000}
+#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step of the warm-up and of a split, words that are scored at once.
+SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "split_tokens": 16_384, "rate": 0.01, "score_words": 10_000}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -194,7 +194,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
     freq[v - 1] += rows
     logs = np.log(freq / freq.sum())
     spark = texts.sparkSession
-    step, rate = o["step_tokens"], o["rate"]
+    step, wide, rate = o["step_tokens"], o["split_tokens"], o["rate"]
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
@@ -220,7 +220,7 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
         keep_freed()
         flat = np.frombuffer(shared.value, np.float32)
         model = Model(v, logs=logs).unpack(flat)
-        n = _train(model, _pieces(batches, held_subwords(*words.value), step), rate / 10, step, None)
+        n = _train(model, _pieces(batches, held_subwords(*words.value), wide), rate / 10, wide, None)
         moved = model.pack() - flat
         cut = np.array_split(np.arange(len(moved)), 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([moved[c].tobytes() for c in cut], pa.binary()), pa.array([n] * 16, pa.int64())], names=["part", "p", "n"])
