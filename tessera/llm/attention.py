@@ -9,11 +9,14 @@ down a tree over the tokens by frequency, so that a token costs the cube root of
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 32
 LEVELS = 3
+#: Places that are scored at once.
+MOST = 16_384
 _LOW = np.float32(-1e9)
 
 
@@ -28,6 +31,32 @@ def keep_freed() -> None:
         lib.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
+def windows(text: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """Overlapping parts of a text with the span of places that count in each; every place counts once.
+
+    Later parts begin 2 x BLOCK places early, all that a place looks back on, so that a place has the same
+    probability in its part as in the whole text.  The end is a place of the last part alone.
+    """
+    size, step = len(text) + 1, max(1, most // BLOCK) * BLOCK
+    for a in range(0, size, step):
+        early = min(a, 2 * BLOCK)
+        yield text[a - early : a + step], (early, min(step, size - a))
+
+
+def grouped(parts: Iterator[tuple], most: int) -> Iterator[list[list]]:
+    """(which, part, span) in groups of one part or of at most about ``most`` places, as three lists."""
+    group: list[tuple] = []
+    held = 0
+    for x in parts:
+        if group and held + len(x[1]) + 1 > most:
+            yield [list(c) for c in zip(*group, strict=True)]
+            group, held = [], 0
+        group.append(x)
+        held += len(x[1]) + 1
+    if group:
+        yield [list(c) for c in zip(*group, strict=True)]
+
+
 class Model:
     """Parameters are named arrays; ``v`` tokens, of which the last is the end (and the beginning) of a text."""
 
@@ -62,8 +91,11 @@ class Model:
             at += x.size
         return self
 
-    def layout(self, texts: list[np.ndarray]):
-        """Inputs in blocks, each text after an empty block: tokens, the real places, their targets and texts, the blocks that begin a text."""
+    def layout(self, texts: list[np.ndarray], spans: list[tuple[int, int]] | None = None):
+        """Inputs in blocks, each text after an empty block: tokens, the real places, their targets and texts, the blocks that begin a text.
+
+        ``spans`` names the first and the number of the places of each text that count; else all do, its end included.
+        """
         sizes = np.array([len(t) + 1 for t in texts])
         first = np.cumsum(np.r_[0, -(-sizes // BLOCK) + 1])
         end, flat = self.v - 1, np.concatenate(texts)
@@ -74,6 +106,11 @@ class Model:
         inner[before[1:] - 1] = False
         y[inner] = flat
         x[place[inner] + 1] = flat
+        if spans is not None:
+            at = np.arange(len(which)) - before[which]
+            low, n = np.array(spans).T
+            counts = (at >= low[which]) & (at < (low + n)[which])
+            place, y, which = place[counts], y[counts], which[counts]
         return x, place, y, which, first[:-1]
 
     def hidden(self, x, place, first):
@@ -119,9 +156,18 @@ class Model:
         for i, j in zip(cuts, np.r_[cuts[1:], len(y)], strict=True):
             yield node[i], slice(i, j), branch[i:j]
 
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, its end included; every token is predicted once."""
-        x, place, y, which, first = self.layout(texts)
+    def log10(self, texts: list[np.ndarray], most: int = MOST) -> np.ndarray:
+        """log10 probability of each text, its end included; every token is predicted once.
+
+        What is held at once is bounded by windows of ``most`` places, however long a text is.
+        """
+        got = np.zeros(len(texts))
+        for which, parts, spans in grouped(((i, *w) for i, t in enumerate(texts) for w in windows(t, most)), most):
+            np.add.at(got, which, self._log10(parts, spans))
+        return got
+
+    def _log10(self, texts: list[np.ndarray], spans: list[tuple[int, int]]) -> np.ndarray:
+        x, place, y, which, first = self.layout(texts, spans)
         h, _ = self.hidden(x, place, first)
         order = np.argsort(y.astype(np.uint16), kind="stable")
         h, y = np.take(h, order, axis=0), y[order]
@@ -135,10 +181,10 @@ class Model:
                 got[rows] *= e[n[: len(e)], branch] / total
         return np.bincount(which[order], np.log10(np.maximum(got, np.float32(1e-37)).astype(np.float64)), len(texts))
 
-    def gradients(self, texts: list[np.ndarray]) -> tuple[dict[str, np.ndarray], float, int]:
-        """Of the mean negative log-likelihood; also its sum and the number of tokens."""
+    def gradients(self, texts: list[np.ndarray], spans: list[tuple[int, int]] | None = None) -> tuple[dict[str, np.ndarray], float, int]:
+        """Of the mean negative log-likelihood of the places that count; also its sum and their number."""
         p, k = self.p, self.k
-        x, place, y, _, first = self.layout(texts)
+        x, place, y, _, first = self.layout(texts, spans)
         h, (s, mixed, q, key, val, m, own, prev, pre) = self.hidden(x, place, first)
         n, g = len(y), {}
         order = np.argsort(y.astype(np.uint16), kind="stable")
@@ -200,8 +246,8 @@ class Trainer:
         self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
         self.s = {k: np.zeros_like(x) for k, x in model.p.items()}
 
-    def learn(self, texts: list[np.ndarray], scale: float = 1.0) -> tuple[float, int]:
-        g, loss, n = self.model.gradients(texts)
+    def learn(self, texts: list[np.ndarray], scale: float = 1.0, spans: list[tuple[int, int]] | None = None) -> tuple[float, int]:
+        g, loss, n = self.model.gradients(texts, spans)
         self.step += 1
         rate = self.rate * scale * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
         for k, x in self.model.p.items():

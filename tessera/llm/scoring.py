@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import Model, Trainer, keep_freed
+from .attention import Model, Trainer, keep_freed, windows
 from .common import written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -168,17 +168,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], sub: Subwords, most: int) -> Iter
                     yield ids[k : k + most]
 
 
-def _train(model: Model, texts: Iterator[np.ndarray], rate: float, step_tokens: int, steps: int | None) -> int:
-    """One pass in steps of about so many tokens; with a known number of steps the rate falls to a twentieth."""
-    trainer, batch, held, seen = Trainer(model, rate), [], 0, 0
-    for ids in texts:
+def _train(model: Model, texts: Iterator[tuple[np.ndarray, tuple[int, int]]], rate: float, step_tokens: int, steps: int | None) -> int:
+    """One pass over texts with the spans of places to learn, in steps of about so many tokens; with a known number of steps the rate falls to a twentieth."""
+    trainer, batch, spans, held, seen = Trainer(model, rate), [], [], 0, 0
+    for ids, span in texts:
         batch.append(ids)
-        held += len(ids) + 1
+        spans.append(span)
+        held += span[1]
         if held >= step_tokens:
-            trainer.learn(batch, max(0.05, 1 - trainer.step / steps) if steps else 1.0)
-            seen, batch, held = seen + held, [], 0
+            trainer.learn(batch, max(0.05, 1 - trainer.step / steps) if steps else 1.0, spans)
+            seen, batch, spans, held = seen + held, [], [], 0
     if batch and held:
-        trainer.learn(batch, 0.05)
+        trainer.learn(batch, 0.05, spans)
         seen += held
     return seen
 
@@ -200,8 +201,8 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
         keep_freed()
         model, sub = Model(v, logs=logs), Subwords(tokenizer, ids, v)
         texts = [sub.ids(sub.places(words_of(t.as_py()))) for b in batches for t in b.column(0)]
-        texts = [x[i : i + 256] for x in texts for i in range(0, len(x), 256)]
-        total = max(1, sum(map(len, texts)))
+        texts = [w for x in texts for w in windows(x, 256)]
+        total = max(1, sum(n for _, (_, n) in texts))
         passes = min(12, max(1, round(o["warm_tokens"] / total)))
         random = np.random.default_rng(4)
         order = np.concatenate([random.permutation(len(texts)) for _ in range(passes)]) if texts else []
@@ -220,7 +221,8 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
         keep_freed()
         flat = np.frombuffer(shared.value, np.float32)
         model = Model(v, logs=logs).unpack(flat)
-        n = _train(model, _pieces(batches, held_subwords(*words.value), wide), rate / 10, wide, None)
+        pieces = _pieces(batches, held_subwords(*words.value), wide)
+        n = _train(model, ((x, (0, len(x) + 1)) for x in pieces), rate / 10, wide, None)
         moved = model.pack() - flat
         cut = np.array_split(np.arange(len(moved)), 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([moved[c].tobytes() for c in cut], pa.binary()), pa.array([n] * 16, pa.int64())], names=["part", "p", "n"])

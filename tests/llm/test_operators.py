@@ -253,6 +253,28 @@ def test_attention_against_loops():
     assert np.allclose(net.log10(texts), [slow_log10(net, t) for t in texts], rtol=1e-4)
 
 
+def test_windows_change_nothing():
+    """Long texts are scored in overlapping windows, each place once, as in the whole text; peak memory doesn't grow with the text."""
+    import tracemalloc
+
+    net, r = Model(70, 8, 4, seed=2), np.random.default_rng(6)
+    texts = [r.integers(0, 69, n).astype(np.int32) for n in (0, 31, 32, 63, 64, 65, 127, 128, 500)]
+    whole = net.log10(texts, 10_000)
+    for most in (32, 64, 100, 128):
+        for t in texts:
+            parts = list(attention.windows(t, most))
+            assert sum(n for _, (_, n) in parts) == len(t) + 1 and max(len(p) for p, _ in parts) <= most + 2 * attention.BLOCK
+        assert np.allclose(net.log10(texts, most), whole, rtol=1e-5)
+    peaks = []
+    for n in (100_000, 800_000):
+        long = r.integers(0, 69, n).astype(np.int32)
+        tracemalloc.start()
+        net.log10([long])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_no_look_ahead():
     """What is known of a place doesn't change with what comes later."""
     net, r = Model(30, 8, 4, seed=5), np.random.default_rng(1)
