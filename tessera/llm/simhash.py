@@ -149,16 +149,21 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     Null or empty text: fingerprint 0, linked like any other.  A null key never names a component unless
     all keys of the component are null; repeated rows come out as often as they came in.  Equal fingerprints
-    are reduced to one before anything is compared, so groups of copies cost nothing.
+    are reduced to one before anything is compared, so groups of copies cost nothing.  Components come back to
+    the rows by a broadcast of the at most 4,096 fingerprints that hold a 4,096th of the rows or more each, and
+    by a shuffle of the rows of all others, so that no group of copies meets in one task.
     """
     docs = written(with_fingerprint(df, key, text, shingle), "fingerprints")
-    reps = docs.groupBy("fp").agg(F.min("key").alias("low"))
+    reps = docs.groupBy("fp").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(near_pairs(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = written(roots.join(reps, "fp"), "linked")
+    linked = written(roots.join(reps.select("fp", "low"), "fp"), "linked")
     low = linked.groupBy("root").agg(F.min("low").alias("component"))
     linked = linked.join(low, "root").select("fp", "component")
-    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
-    return docs.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component")
+    by_fp = written(reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"), "n"), "components")
+    large = F.col("n") * 4096 >= docs.count()
+    hot, cold = F.broadcast(by_fp.where(large).drop("n")), by_fp.where(~large).drop("n")
+    out = docs.join(hot, "fp").unionByName(docs.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return out.select(F.col("key").alias(key), "fp", "component")
 
 
 def word_set_fingerprints(text: bytes | None, seeds: tuple[int, ...]) -> list[int]:

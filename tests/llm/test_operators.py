@@ -140,6 +140,17 @@ def test_simhash_groups(spark, odd, none, sf):
     assert simhash.fingerprint(b"") == 0 and simhash.near_groups(none).count() == 0
 
 
+def test_hot_fingerprints(spark):
+    """Fingerprints above and below a 4,096th of the rows; every row comes back once."""
+    rows = [(i, "the very same words again and again") for i in range(3000)] + [(3000 + i, f"one{i} two{i} three{i} four{i}") for i in range(6000)]
+    df = spark.createDataFrame([*rows, (None, "the very same words again and again")], "doc_id long, text string")
+    got = [(r.doc_id, r.component) for r in simhash.near_groups(df).collect()]
+    assert Counter(i for i, _ in got) == Counter([None, *range(9000)])
+    assert all(c == 0 for i, c in got if i is None or i < 3000)
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    assert all(c == i or (fps[c] ^ fps[i]).bit_count() <= 3 for i, c in got if i is not None and i >= 3000)
+
+
 def test_fingerprint_bit_by_bit(sf, duck):
     import xxhash
 
