@@ -195,11 +195,10 @@ class Model:
             gw, gb = np.zeros_like(weights), np.zeros_like(p[f"b{level}"])
             for node, rows, branch in self._groups(ys, level):
                 e, total = self._softmax(hs[rows] @ weights[node] + bias[node])
-                e /= total[:, None]
                 i = np.arange(len(e))
-                loss -= float(np.log(e[i, branch] + 1e-37).sum())
-                e[i, branch] -= 1
-                e /= n
+                loss -= float(np.log(e[i, branch] / total + 1e-37).sum())
+                e /= total[:, None] * np.float32(n)
+                e[i, branch] -= np.float32(1 / n)
                 gw[node], gb[node] = hs[rows].T @ e, e.sum(0)
                 ds[rows] += e @ weights[node].T
             g[f"w{level}"], g[f"b{level}"] = gw, gb
@@ -208,17 +207,20 @@ class Model:
         dh[pre <= 0] = 0
         g["b"], g["out"] = dh.sum(0), m.T @ dh
         g["own"], g["prev"] = self._gather(own, dh), self._gather(prev, dh)
-        dm = np.zeros((len(x) - BLOCK, k), np.float32)
-        dm[place - BLOCK] = dh @ p["out"].T
-        dm = dm.reshape(-1, BLOCK, k)
-        s /= np.maximum(mixed[:, :, k:], np.float32(1e-30))
-        ds = dm @ val[:, :, :k].transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        # through the softmax, whose sums are the last column of ``mixed`` and stand against the ones of ``val``
+        back = dh @ p["out"].T
+        dm = np.zeros((len(x) - BLOCK, k + 1), np.float32)
+        dm[place - BLOCK, :k] = back
+        dm[place - BLOCK, k] = -np.einsum("ij,ij->i", back, m)
+        dm = dm.reshape(-1, BLOCK, k + 1)
+        dm /= np.maximum(mixed[:, :, k:], np.float32(1e-30))
+        ds = dm @ val.transpose(0, 2, 1)
+        ds *= s
         g["far"] = np.bincount(self.dist.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
         g["q"] = self._gather(x[BLOCK:], (ds @ key).reshape(-1, k))
         wide = lambda a: self._halves(a, len(x))
         g["key"] = self._gather(x, wide(ds.transpose(0, 2, 1) @ q))
-        g["val"] = self._gather(x, wide(s.transpose(0, 2, 1) @ dm))
+        g["val"] = self._gather(x, wide(s.transpose(0, 2, 1) @ dm[:, :, :k]))
         return g, loss, n
 
     def _halves(self, pairs: np.ndarray, n: int) -> np.ndarray:
