@@ -11,23 +11,23 @@ table of counts by a shuffle, so no word is lost however many there are.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import Model, Trainer, keep_freed, windows
-from .common import written
+from .common import setting, written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step of the warm-up and of a split, words that are scored at once.
+#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step of the warm-up and of a split, words that are scored at once, but for a longer text.
 SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "split_tokens": 16_384, "rate": 0.01, "score_words": 10_000}
 
 
@@ -35,6 +35,28 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about at most so many bytes together; a longer text is alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, all words as places among them, and how many each text has; words as ``words_of`` tells them."""
+    texts = texts.fill_null(b"")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())))
+    flat, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)  # spaces at the ends split off empty strings
+    sizes = np.bincount(of[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    words = flat.filter(real).dictionary_encode()
+    large = pa.types.is_large_string(words.dictionary.type)
+    return words.dictionary.view(pa.large_binary() if large else pa.binary()).cast(pa.binary()), words.indices.to_numpy(), sizes
+
+
 def encoder(path: str):
     """Words to lists of subword ids."""
     from sentencepiece import SentencePieceProcessor
@@ -52,7 +74,7 @@ class Subwords:
     probability is spread evenly over them; the last id is the end of a text.
     """
 
-    def __init__(self, path: str, ids: list[int], v: int, logs: dict[bytes, float] | None = None, size: int = 300_000):
+    def __init__(self, path: str, ids: list[int], v: int, logs: dict[bytes, float] | None = None, size: int = 150_000):
         self.encode = encoder(path)
         self.rank = np.full(ALL_IDS, len(ids), np.int32)
         self.rank[ids] = np.arange(len(ids))
@@ -121,22 +143,19 @@ def held_subwords(name: str, *given) -> Subwords:
     return _held[name]
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, c) of a (text binary) table; tasks count before the shuffle, in memory that is bounded."""
+def small_batches(spark: SparkSession):
+    """Batches to Python of at most 2,000 rows, so that the buffers on both sides stay small where texts are long."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word binary, c) of a (text binary) table; counted in slices of texts, then by Spark before and after the shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                seen.update(words_of(t.as_py()))
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for texts in slices(b.column(0)):
+                words, codes, _ = coded(texts)
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["word", "c"])
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -160,12 +179,15 @@ def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int,
 def _pieces(batches: Iterator[pa.RecordBatch], sub: Subwords, most: int) -> Iterator[np.ndarray]:
     """Ids of all words of each text, in pieces of at most ``most``."""
     for b in batches:
-        for t in b.column(0):
-            words = words_of(t.as_py())
-            for i in range(0, max(1, len(words)), 10_000):
-                ids = sub.ids(sub.places(words[i : i + 10_000]))
-                for k in range(0, max(1, len(ids)), most):
-                    yield ids[k : k + most]
+        for texts in slices(b.column(0)):
+            words, codes, sizes = coded(texts)
+            places, end = sub.places(words.to_pylist())[codes], 0
+            for n in sizes.tolist():
+                begin, end = end, end + n
+                for i in range(begin, max(begin + 1, end), 10_000):
+                    ids = sub.ids(places[i : min(i + 10_000, end)])
+                    for k in range(0, max(1, len(ids)), most):
+                        yield ids[k : k + most]
 
 
 def _train(model: Model, texts: Iterator[tuple[np.ndarray, tuple[int, int]]], rate: float, step_tokens: int, steps: int | None) -> int:
@@ -257,7 +279,8 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     body = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), learn.alias("learn"))
     train = body.where("learn").select("text")
-    counts = written(count_words(train), "words")
+    with small_batches(spark):
+        counts = written(count_words(train), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rows = body.where("learn").count()
     n, v = n + rows, v + (1 if rows else 0)
@@ -265,7 +288,8 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     below = np.log10(n + 0.5 * (v + 1))
     logs = {w: float(np.log10(c + 0.5) - below) for w, c in head.items()}
     end_log = float(np.log10(rows + 0.5) - below)
-    model, subs = fit(train, counts, n, rows, logs, tokenizer, **given)
+    with small_batches(spark):
+        model, subs = fit(train, counts, n, rows, logs, tokenizer, **given)
     shared = spark.sparkContext.broadcast(model.pack())
     width, chunk = model.v, o["score_words"]
 
@@ -273,18 +297,15 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         keep_freed()
         net, sub = Model(width).unpack(shared.value), held_subwords(*subs.value)
         rare_log = float(np.log10(max(1, ALL_IDS - sub.rare)))
-        docs: list[int | None] = []
-        texts: list[list[bytes]] = []
-        held = 0
 
-        def out() -> pa.RecordBatch:
-            places = sub.places(list(chain.from_iterable(texts)))
+        def out(docs: list[int | None], words: list[bytes], codes: np.ndarray, places: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
             known, rows, ids, end = sub.known[places], [], [], 0
-            for doc, words in zip(docs, texts, strict=True):
-                begin, end = end, end + len(words)
-                of, missing = known[begin:end], np.isnan(known[begin:end])
-                tail = Counter(words[i] for i in np.flatnonzero(missing).tolist())
-                rows.append([doc, len(words) + 1, len(words) - int(missing.sum()), float(of[~missing].sum()) + end_log, list(tail), list(tail.values())])
+            for doc, n in zip(docs, sizes, strict=True):
+                begin, end = end, end + n
+                of = known[begin:end]
+                missing = np.isnan(of)
+                tail, times = np.unique(codes[begin:end][missing], return_counts=True)
+                rows.append([doc, n + 1, n - int(missing.sum()), float(of[~missing].sum()) + end_log, [words[i] for i in tail.tolist()], times.tolist()])
                 ids.append(sub.ids(places[begin:end]))
             scores = net.log10(ids) - np.array([np.count_nonzero(t == sub.rare) for t in ids]) * rare_log
             cols = [[r[i] for r in rows] for i in range(6)]
@@ -293,18 +314,22 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
         for b in batches:
-            for doc, t in zip(b.column(0), b.column(1), strict=True):
-                docs.append(doc.as_py())
-                texts.append(words_of(t.as_py()))
-                held += len(texts[-1]) + 1
-                if held >= chunk:
-                    yield out()
-                    docs, texts, held = [], [], 0
-        if docs:
-            yield out()
+            docs, at = b.column(0).to_pylist(), 0
+            for texts in slices(b.column(1)):
+                words, codes, sizes = coded(texts)
+                words = words.to_pylist()
+                places, ends, a = sub.places(words)[codes], np.cumsum(sizes), 0
+                while a < len(sizes):
+                    begin = int(ends[a - 1]) if a else 0
+                    z = max(a + 1, int(np.searchsorted(ends, begin + chunk, "right")))
+                    end = int(ends[z - 1])
+                    yield out(docs[at + a : at + z], words, codes[begin:end], places[begin:end], sizes[a:z].tolist())
+                    a = z
+                at += len(sizes)
 
     got = body.select("doc", "text").mapInArrow(run, _SCORED).withColumn("rid", F.monotonically_increasing_id())
-    got = written(got, "scored")
+    with small_batches(spark):
+        got = written(got, "scored")
     tail = got.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(counts, "word", "left").groupBy("rid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
