@@ -160,6 +160,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The commonest words of (word, c), at most so many: all words down to a level of counts, 64 levels to a doubling.
+
+    No partition sends words of its own choice, so that what the driver collects is bounded however many there are.
+    """
+    level = F.floor(F.log2("c") * 64)
+    lowest, held = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 64 x 64 rows
+        held += r["count"]
+        if held > most:
+            break
+        lowest = r["level"]
+    return counts.where(F.lit(False) if lowest is None else level >= lowest)
+
+
 def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int, int]]:
     """(id, count) of the commonest subword ids, from the counts of words."""
 
@@ -284,7 +299,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rows = body.where("learn").count()
     n, v = n + rows, v + (1 if rows else 0)
-    head = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(o["head_words"]).collect()}
+    head = {bytes(r["word"]): r["c"] for r in commonest(counts, o["head_words"]).collect()}
     below = np.log10(n + 0.5 * (v + 1))
     logs = {w: float(np.log10(c + 0.5) - below) for w, c in head.items()}
     end_log = float(np.log10(rows + 0.5) - below)

@@ -330,6 +330,34 @@ def test_training_takes_all_words():
     assert np.concatenate(got).tolist() == np.concatenate(want).tolist() and max(map(len, got)) <= 1000
 
 
+def test_words_of_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    letters = [b"a", b"B", "\u00c9\u00df".encode(), b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x00", "\u00a0".encode(), b"\xff"]
+    texts = [b"".join(letters[i] for i in r.integers(0, len(letters), n)) for n in r.integers(0, 40, 500)] + [None, b"", b"  ", b" a b ", b"long " * 5000]
+    for kind in (pa.binary(), pa.large_binary()):
+        got = []
+        for part in scoring.slices(pa.array([b"before", *texts], kind).slice(1), 1000):
+            words, codes, sizes = scoring.coded(part)
+            assert len(set(words.to_pylist())) == len(words) and sizes.sum() == len(codes)
+            for c in np.split(codes, np.cumsum(sizes)[:-1]):
+                got.append([words[int(i)].as_py() for i in c])
+        assert got == [scoring.words_of(t) for t in texts]
+    assert list(scoring.slices(pa.array([], pa.binary()))) == []
+
+
+def test_commonest_words_are_bounded(spark):
+    counts = {f"w{i}".encode(): 1 + 1000 // (i + 1) for i in range(300)}
+    table = spark.createDataFrame(list(counts.items()), "word binary, c long")
+    for most in (0, 1, 5, 40, 299, 300, 1000):
+        got = {bytes(r.word): r.c for r in scoring.commonest(table, most).collect()}
+        others = [c for w, c in counts.items() if w not in got]
+        assert len(got) <= most and all(counts[w] == c for w, c in got.items()) and min(got.values(), default=1e9) > max(others, default=0)
+    assert len(scoring.commonest(table, 300).collect()) == 300 and len(scoring.commonest(table, 1).collect()) == 1
+    assert scoring.commonest(table.where("c < 0"), 5).count() == 0
+
+
 def test_rare_subwords_and_far_context_count(spark):
     a, b = np.arange(40, dtype=np.int32), np.arange(40, dtype=np.int32)
     b[10] = 60
