@@ -66,6 +66,22 @@ def test_concurrent_writers_lose_nothing(engine, spark):
     assert table.read().distinct().count() == 40 and table.versions() == [1, 2, 3, 4, 5]
 
 
+def test_one_writer_makes_a_version(engine, spark):
+    table = engine.create_table("ov", spark.range(1).schema)
+    m, tables = table.manifest(), [AppendTable(spark, table.path) for _ in range(8)]
+
+    def made(at: tuple[AppendTable, int]) -> int:
+        try:
+            return at[0]._commit(m | {"version": at[1]})
+        except InvalidError:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        for v in range(2, 202):
+            assert sum(x == v for x in pool.map(made, [(t, v) for t in tables])) == 1
+    assert table.versions() == list(range(1, 202)) and table.manifest()["version"] == 201
+
+
 def test_damage_is_found(engine, spark):
     table = engine.create_table("dm", spark.range(1).schema)
     engine.append("dm", spark.range(5000))
