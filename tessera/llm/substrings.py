@@ -14,6 +14,9 @@ run of immutable files and merge-joined with all runs before it, bucket by bucke
 
 Fingerprints, made from 64-bit hashes of words, only select.  Equality is decided by 128-bit hashes of the words' own bytes.
 After ``fan_in`` runs the files of each bucket are merged into one.
+
+All joins are merge joins: the sides look small as files, but are up to 50 times that in a broadcast's memory,
+and the driver would hold it.
 """
 
 from __future__ import annotations
@@ -225,7 +228,7 @@ class SubstringIndex:
         segs = segs.agg(F.min(F.struct("doc", "rid", "at", "n")).alias("m"), F.max("doc").alias("high")).select("f", "s", "a", "b", "m.*", "high", F.lit(part).alias("part"))
         segs, same = self.segments.dealt(segs), ["f", "s", "a", "b"]
         if later:
-            segs = segs.join(self.segments.read().where("old is null").select(*same, F.col("doc").alias("old")), same, "left")
+            segs = segs.join(self.segments.read().where("old is null").select(*same, F.col("doc").alias("old")).hint("merge"), same, "left")
         else:
             segs = segs.withColumn("old", F.lit(None).cast("long"))
         self.segments.append(segs)
@@ -234,32 +237,32 @@ class SubstringIndex:
 
         # 1. whole segments
         equal = written(segs.select("a", "b", "high", F.coalesce("old", "doc").alias("first")).where("first < high").drop("high"), "equal")
-        ranges = placed.join(equal, ["a", "b"]).where("first < doc").select("rid", "at", (F.col("n") + span - 1).alias("n"))
+        ranges = placed.join(equal.hint("merge"), ["a", "b"]).where("first < doc").select("rid", "at", (F.col("n") + span - 1).alias("n"))
 
         # 2. fingerprints of segments that aren't equal, and the windows of all segments that have them
         prints = segs.groupBy("f").agg(F.min("doc").alias("low"), F.max("doc").alias("top"))
         shared = prints.withColumn("known", F.lit(False))
         if later:
             known = self.prints.read().groupBy("f").agg(F.lit(True).alias("known"))
-            shared = prints.join(known, "f", "left").select("f", "low", "top", F.coalesce("known", F.lit(False)).alias("known"))
+            shared = prints.join(known.hint("merge"), "f", "left").select("f", "low", "top", F.coalesce("known", F.lit(False)).alias("known"))
         shared = written(shared.where("known or low < top").select("f", "low", "known"), "shared")
         self.prints.append(self.prints.dealt(prints.select("f", F.lit(part).alias("part"))))
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
-        asked = segs.where("old is null").join(shared.select("*", salts), ["f", "s"]).where("known or low < doc")
+        asked = segs.where("old is null").join(shared.select("*", salts).hint("merge"), ["f", "s"]).where("known or low < doc")
         asked = written(asked.groupBy("f").agg(F.max("doc").alias("top")), "asked")
-        places = all_segs.where("old is null").join(asked.select("*", salts), ["f", "s"]).where("doc <= top")
+        places = all_segs.where("old is null").join(asked.select("*", salts).hint("merge"), ["f", "s"]).where("doc <= top")
         places = written(places.select("part", "rid", "at", "n"), "places")
         win = None
         for i, t in enumerate(self.texts):
             ask = places.where(F.col("part") == i).groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
-            got = t.read().select("rid", "doc", "text").join(ask, "rid").select(F.lit(i).alias("part"), "rid", "doc", "text", "ats", "ns").mapInArrow(_windows(span), _WINDOW)
+            got = t.read().select("rid", "doc", "text").join(ask.hint("merge"), "rid").select(F.lit(i).alias("part"), "rid", "doc", "text", "ats", "ns").mapInArrow(_windows(span), _WINDOW)
             win = got if win is None else win.union(got)
         win = written(win, "windows")
         first = win.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-        single = win.where(F.col("part") == part).join(first, ["a", "b"]).where("doc > first").select("rid", "at", F.lit(span).alias("n"))
+        single = win.where(F.col("part") == part).join(first.hint("merge"), ["a", "b"]).where("doc > first").select("rid", "at", F.lit(span).alias("n"))
 
         gone = ranges.union(single).groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
-        cut = mine.select("rid", "doc", "n_words", "sha", "text").join(gone, "rid", "left")
+        cut = mine.select("rid", "doc", "n_words", "sha", "text").join(gone.hint("merge"), "rid", "left")
         cut = cut.select("doc", "n_words", "sha", F.when(F.col("ats").isNotNull(), F.col("text")).alias("text"), "ats", "ns")
         out = written(cut.mapInArrow(_cut, _KEPT), "kept")
         discard(equal, shared, asked, places, win)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import attention, decontam, langid, mixing, quality, queries, scoring, sharding, simhash, substrings, urls, warc
+from tessera.llm import attention, common, decontam, langid, mixing, quality, queries, scoring, sharding, simhash, substrings, urls, warc
 from tessera.llm.attention import Model
 from tessera.llm.common import id_crc
 from tessera.llm.graph import connected_components
@@ -547,6 +547,15 @@ def test_compacted_run_is_joined(spark, odd, monkeypatch):
     assert got == want and merged == [4]  # the fifth batch met the merged run
 
 
+def test_substrings_broadcast_nothing(spark, odd, monkeypatch):
+    plans, write, save = [], substrings.written, common.Bucketed._save
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(substrings, "written", lambda df, name: (seen(df), write(df, name))[1])
+    monkeypatch.setattr(common.Bucketed, "_save", lambda self, df, mode: (seen(df), save(self, df, mode))[1])
+    assert substrings.dedup_substrings(odd, batches=3).count() == odd.count()
+    assert sum("SortMergeJoin" in p for p in plans) >= 10 and not any("Broadcast" in p for p in plans)
+
+
 # 10
 
 
