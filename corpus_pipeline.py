@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of copies and near copies: five-word shingles, similarity 0.8."""
+    """One document, with the smallest id, of each group of copies and near copies: linked SimHash fingerprints, then all others; five-word shingles, similarity 0.8."""
     return simhash.near_dedup(docs)
 
 

@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by covering locality-sensitive hashing; similar texts by a prefix join.
+"""SimHash fingerprints and near-duplicate groups by covering locality-sensitive hashing; similar texts by these, then by a prefix join.
 
 Covering: every bit position gets a nonzero vector of GF(2)^(r+1).  Table t, one for each nonzero vector t,
 keeps the bits whose vector has an odd product with t.  Two fingerprints that differ in at most r positions
@@ -311,11 +311,27 @@ def _in_buckets(rows: DataFrame, order: list, least: float, star: bool) -> DataF
     return rows.select("bucket", "node", "size", "at", "root", "p", "q").mapInArrow(_bucket_pairs(least, star), "src long, dst long").distinct()
 
 
-def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, chunk: int = 4096) -> DataFrame:
+def fingerprint_pairs(texts: DataFrame, radius: int = 3) -> DataFrame:
+    """(src, dst), src < dst: distinct pairs of (node, text) whose fingerprints link them within ``radius`` bits.
+
+    Each text with the first one of the same fingerprint, and the first ones along the links of ``near_pairs``:
+    the components are those of all pairs within ``radius``.
+    """
+    prints = written(with_fingerprint(texts, "node", "text"), "simhashes")
+    heads = written(prints.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    same = prints.join(heads.hint("merge"), "fp").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    ends = [heads.select(F.col("fp").alias(end), F.col("head").alias(x)).hint("merge") for end, x in (("src", "a"), ("dst", "b"))]
+    linked = near_pairs(heads.select("fp"), radius).distinct().join(ends[0], "src").join(ends[1], "dst").select("a", "b")
+    return same.union(linked).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, chunk: int = 4096, radius: int = 3) -> DataFrame:
     """(rid, key, root): groups of texts with Jaccard similarity ``least`` or more over word shingles.
 
     ``rid`` is a hash of key and text.  Texts with equal word sequences (A-Z lower-cased) form a class that
-    stands as one.  In any one order of all shingles, two sets that are similar enough share one of the first
+    stands as one.  First the links of the classes' SimHash fingerprints, as in ``near_groups``, are verified.
+    Similar texts may differ in more bits than ``radius``; an exact join finds them: in any one order of all
+    shingles, two sets that are similar enough share one of the first
     (1 - least) of each, so the classes are bucketed by these, rare shingles first; sizes and places
     rule out more.  Two rounds compare each class with one head of each of its buckets, which ties large groups
     of near copies together; then all pairs of a bucket that aren't in one group yet are compared, buckets of more
@@ -361,12 +377,11 @@ def similar_groups(df: DataFrame, key: str, text: str, shingle: int = 5, least:
 
     def open_rows() -> DataFrame:
         """Prefix rows of the buckets that hold more than one group."""
-        named = pre.withColumn("root", F.col("node")) if roots is None else pre.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if roots is not None:
-            open_tokens = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-            named = named.join(open_tokens, "token")
-        return named.withColumn("bucket", F.col("token")).withColumn("p", F.lit(0)).withColumn("q", F.lit(1))
+        named = pre.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_tokens = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+        return named.join(open_tokens, "token").withColumn("bucket", F.col("token")).withColumn("p", F.lit(0)).withColumn("q", F.lit(1))
 
+    check(fingerprint_pairs(texts, radius))
     check(_in_buckets(open_rows(), [F.col("node")], least, True))
     check(_in_buckets(open_rows(), [F.col("at"), F.xxhash64("node")], least, True))
     rest = written(open_rows(), "rest")

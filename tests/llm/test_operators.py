@@ -192,6 +192,26 @@ def test_near_dedup(spark, odd, none, sf):
     assert not any(a in stay and b in stay for a, b in near)
 
 
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Without the prefix join, groups are those of fingerprint links that the exact check lets stand."""
+    r = np.random.default_rng(11)
+    base = [[f"w{x}" for x in r.integers(0, 10**6, 1500)] for _ in range(6)]
+    texts = [" ".join(w) for b in base for w in (b, [*b[:750], "changed", *b[751:]], [*b, "more"])]
+    texts += ["same bits", "SAME  bits", "\t", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    fps = [simhash.fingerprint(t) for t in raw]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3 and simhash.jaccard(raw[a], raw[b], 5) >= 0.8}
+    group = components(near, range(len(texts)))
+    assert sum(group[a] != a for a in group) >= 8
+    monkeypatch.setattr(simhash, "_in_buckets", lambda *_: spark.createDataFrame([], "src long, dst long"))
+    roots = {r.key: r.root for r in simhash.similar_groups(docs, "doc_id", "text").collect()}
+    assert all((roots[a] == roots[b]) == (group[a] == group[b]) for a in roots for b in roots)
+    far = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "node long, text string")  # equal bits, unlike texts: candidates, no group
+    monkeypatch.setattr(simhash, "fingerprint", lambda *_: 5)
+    assert [tuple(x) for x in simhash.fingerprint_pairs(far).collect()] == [(1, 2)]
+
+
 def test_appended_and_reordered_copies(spark):
     """Similar texts that word-set fingerprints miss, and many texts of the same words of which few are similar."""
     r = np.random.default_rng(7)
