@@ -17,6 +17,9 @@ BLOCK = 32
 LEVELS = 3
 #: Places that are scored at once.
 MOST = 16_384
+#: Blocks whose attention weights are worked on at once, to stay in a core's cache.
+CHUNK = 64
+_HIGH = np.float32(60)
 _LOW = np.float32(-1e9)
 
 
@@ -77,6 +80,9 @@ class Model:
             sums = np.exp(full.reshape(w ** (j + 1), -1)).sum(1).reshape(w**j, w)
             self.p[f"b{j}"] = np.maximum(np.log(np.maximum(sums, 1e-40)), -30).astype(np.float32)
         self.pad = [np.where(np.isfinite(full).reshape(w ** (j + 1), -1).any(1).reshape(w**j, w), np.float32(0), _LOW) for j in range(LEVELS)]
+        leaves = np.arange(w**LEVELS)
+        self.branch = leaves[:v, None] // w ** np.arange(LEVELS - 1, -1, -1) % w
+        self.leaf = leaves[:v] // w
         dist = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
         self.dist = np.clip(dist, 0, 2 * BLOCK - 1)
         self.mask = np.where(dist >= 0, np.float32(0), _LOW)
@@ -113,11 +119,11 @@ class Model:
             place, y, which = place[counts], y[counts], which[counts]
         return x, place, y, which, first[:-1]
 
-    def hidden(self, x, place, first):
+    def hidden(self, x, place, first, keep: bool = True):
         """Batched masked attention: the queries of each block look at its own and the block before.
 
         Places after a text's end are behind the causal mask for all real queries; the empty block before a
-        text is masked here.  Scores are held below 60 so that exp stays finite.
+        text is masked here.  Scores are held below 60 so that exp stays finite.  What gradients need is kept only on demand.
         """
         p, k = self.p, self.k
         n = len(x) // BLOCK - 1
@@ -125,36 +131,64 @@ class Model:
         q, key, val = take("q", x), take("key", x), np.ones((len(x), k + 1), np.float32)
         val[:, :k] = take("val", x)
         pairs = lambda a: np.lib.stride_tricks.as_strided(a, (n, 2 * BLOCK, a.shape[1]), (BLOCK * a.strides[0], *a.strides))
-        q = q.reshape(-1, BLOCK, k)[1:]
-        s = q @ pairs(key).transpose(0, 2, 1)
-        s += p["far"][self.dist] + self.mask
-        s[first, :, :BLOCK] = _LOW
-        np.minimum(s, np.float32(60), out=s)
-        np.exp(s, out=s)
-        mixed = s @ pairs(val)  # the last column is the sum of the weights
-        m = mixed.reshape(-1, k + 1)[place - BLOCK]
-        m = m[:, :k] / m[:, k:]
-        own, prev = x[place], x[place - 1]
-        pre = take("own", own)
-        pre += take("prev", prev)
-        pre += m @ p["out"]
-        pre += p["b"]
-        return np.maximum(pre, 0), (s, mixed, q, pairs(key), pairs(val), m, own, prev, pre)
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of what is held below 60, and its row sums."""
-        np.minimum(z, np.float32(60), out=z)
+        q, key, val = q.reshape(-1, BLOCK, k)[1:], pairs(key), pairs(val)
+        s, mixed = np.empty((n if keep else min(n, CHUNK), BLOCK, 2 * BLOCK), np.float32), np.empty((n, BLOCK, k + 1), np.float32)
+        opens = np.zeros(n, bool)
+        opens[first] = True
+        longest = lambda name: np.sqrt(np.einsum("ij,ij->i", p[name], p[name]).max())
+        low = longest("q") * longest("key") + p["far"].max() < _HIGH  # no score is beyond it
+        far = p["far"][self.dist] + self.mask
+        for a in range(0, n, CHUNK):
+            b = min(a + CHUNK, n)
+            e = s[a:b] if keep else s[: b - a]
+            np.matmul(q[a:b], key[a:b].transpose(0, 2, 1), out=e)
+            e += far
+            if not low:
+                np.minimum(e, _HIGH, out=e)
+            np.exp(e, out=e)
+            e[opens[a:b], :, :BLOCK] = 0
+            np.matmul(e, val[a:b], out=mixed[a:b])  # the last column is the sum of the weights
+        m = np.take(mixed.reshape(-1, k + 1), place - BLOCK, axis=0)
+        m /= m[:, k:].copy()  # its last column is one
+        pre = m @ np.vstack([p["out"], p["b"]])
+        pre += take("own", x[place])
+        pre += take("prev", x[place - 1])
+        return np.maximum(pre, 0, out=pre), (s, mixed, q, key, val, m)
+
+    def _branches(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted targets: the nodes of the last level that occur, the cuts between their rows, the place of each target's branch of each level in ``_choices``."""
+        leaf = np.take(self.leaf, y)
+        cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
+        target = np.arange(0, len(y) * LEVELS * self.width, self.width).reshape(-1, LEVELS)
+        target += np.take(self.branch, y, axis=0)
+        return leaf[cuts[:-1]], cuts, target
+
+    def _path(self, nodes: np.ndarray, level: int) -> np.ndarray:
+        return nodes // self.width ** (LEVELS - 1 - level)
+
+    def _choices(self, h: np.ndarray, nodes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row, whose last column is one, exp of all branches on the way to its node, held below 60; their sums by level; the nodes' weights side by side, biases below."""
+        w, d = self.width, self.d
+        weights = np.empty((len(nodes), d + 1, LEVELS * w), np.float32)
+        for level in range(LEVELS):
+            at, cols = self._path(nodes, level), slice(level * w, (level + 1) * w)
+            weights[:, :d, cols] = self.p[f"w{level}"][at]
+            weights[:, d, cols] = (self.p[f"b{level}"] + self.pad[level])[at]
+        z = np.empty((len(h), LEVELS * w), np.float32)
+        for x, a, b in zip(weights, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            np.matmul(h[a:b], x, out=z[a:b])
+        if z.max(initial=0) > _HIGH:
+            np.minimum(z, _HIGH, out=z)
         np.exp(z, out=z)
-        return z, z @ np.ones(z.shape[1], np.float32)
+        return z, (z.reshape(-1, w) @ np.ones(w, np.float32)).reshape(-1, LEVELS), weights
 
-    def _groups(self, y: np.ndarray, level: int):
-        """Of sorted targets: node of the tree, slice of the rows that pass it, and their branch from it."""
-        w = self.width
-        node, branch = y // w ** (LEVELS - level), y // w ** (LEVELS - 1 - level) % w
-        cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        for i, j in zip(cuts, np.r_[cuts[1:], len(y)], strict=True):
-            yield node[i], slice(i, j), branch[i:j]
+    @staticmethod
+    def _sorted(h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by target, the rows in it with a column of ones, the targets in it."""
+        order = np.argsort(y.astype(np.uint16), kind="stable")  # by radix
+        rows = np.ones((len(h), h.shape[1] + 1), np.float32)
+        rows[:, :-1] = np.take(h, order, axis=0)
+        return order, rows, y[order]
 
     def log10(self, texts: list[np.ndarray], most: int = MOST) -> np.ndarray:
         """log10 probability of each text, its end included; every token is predicted once.
@@ -168,93 +202,124 @@ class Model:
 
     def _log10(self, texts: list[np.ndarray], spans: list[tuple[int, int]]) -> np.ndarray:
         x, place, y, which, first = self.layout(texts, spans)
-        h, _ = self.hidden(x, place, first)
-        order = np.argsort(y.astype(np.uint16), kind="stable")
-        h, y = np.take(h, order, axis=0), y[order]
-        got, n = np.ones(len(y), np.float32), np.arange(len(y))
-        for level in range(LEVELS):
-            weights, bias = self.p[f"w{level}"], self.p[f"b{level}"] + self.pad[level]
-            for node, rows, branch in self._groups(y, level):
-                z = h[rows] @ weights[node]
-                z += bias[node]
-                e, total = self._softmax(z)
-                got[rows] *= e[n[: len(e)], branch] / total
+        h, _ = self.hidden(x, place, first, keep=False)
+        order, h, y = self._sorted(h, y)
+        nodes, cuts, target = self._branches(y)
+        e, total, _ = self._choices(h, nodes, cuts)
+        got = (np.take(e, target) / total).prod(1)
         return np.bincount(which[order], np.log10(np.maximum(got, np.float32(1e-37)).astype(np.float64)), len(texts))
 
     def gradients(self, texts: list[np.ndarray], spans: list[tuple[int, int]] | None = None) -> tuple[dict[str, np.ndarray], float, int]:
         """Of the mean negative log-likelihood of the places that count; also its sum and their number."""
-        p, k = self.p, self.k
+        p, k, d, w = self.p, self.k, self.d, self.width
         x, place, y, _, first = self.layout(texts, spans)
-        h, (s, mixed, q, key, val, m, own, prev, pre) = self.hidden(x, place, first)
+        h, (s, mixed, q, key, val, m) = self.hidden(x, place, first)
         n, g = len(y), {}
-        order = np.argsort(y.astype(np.uint16), kind="stable")
-        hs, ys, loss = h[order], y[order], 0.0
-        ds = np.zeros_like(hs)
+        order, hs, ys = self._sorted(h, y)
+        nodes, cuts, target = self._branches(ys)
+        e, total, weights = self._choices(hs, nodes, cuts)
+        got = np.take(e, target) / total
+        loss = -float(np.log(got.astype(np.float64).prod(1) + 1e-300).sum())
+        e.reshape(n, LEVELS, w)[:] *= (1 / (total * np.float32(n)))[:, :, None]
+        e.reshape(-1)[target] -= np.float32(1 / n)
+        gw, ds = np.empty_like(weights), np.empty((n, d), np.float32)
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            np.matmul(hs[a:b].T, e[a:b], out=gw[i])
+            np.matmul(e[a:b], weights[i, :d].T, out=ds[a:b])
         for level in range(LEVELS):
-            weights, bias = p[f"w{level}"], p[f"b{level}"] + self.pad[level]
-            gw, gb = np.zeros_like(weights), np.zeros_like(p[f"b{level}"])
-            for node, rows, branch in self._groups(ys, level):
-                e, total = self._softmax(hs[rows] @ weights[node] + bias[node])
-                i = np.arange(len(e))
-                loss -= float(np.log(e[i, branch] / total + 1e-37).sum())
-                e /= total[:, None] * np.float32(n)
-                e[i, branch] -= np.float32(1 / n)
-                gw[node], gb[node] = hs[rows].T @ e, e.sum(0)
-                ds[rows] += e @ weights[node].T
-            g[f"w{level}"], g[f"b{level}"] = gw, gb
-        dh = np.empty_like(ds)
-        dh[order] = ds
-        dh[pre <= 0] = 0
-        g["b"], g["out"] = dh.sum(0), m.T @ dh
-        g["own"], g["prev"] = self._gather(own, dh), self._gather(prev, dh)
+            at = self._path(nodes, level)
+            starts, got = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), gw[:, :, level * w : (level + 1) * w]
+            if len(starts) < len(at):
+                got = np.add.reduceat(got, starts, axis=0)
+            g[f"w{level}"], g[f"b{level}"] = np.zeros_like(p[f"w{level}"]), np.zeros_like(p[f"b{level}"])
+            g[f"w{level}"][at[starts]], g[f"b{level}"][at[starts]] = got[:, :d], got[:, d]
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(n)
+        dh = np.zeros((n + 1, d), np.float32)  # its last row is for places that don't count
+        np.take(ds, back_to, axis=0, out=dh[:n], mode="clip")
+        dh[:n] *= h > 0
+        both = m.T @ dh[:n]
+        g["out"], g["b"] = both[:k], both[k]
         # through the softmax, whose sums are the last column of ``mixed`` and stand against the ones of ``val``
-        back = dh @ p["out"].T
-        dm = np.zeros((len(x) - BLOCK, k + 1), np.float32)
-        dm[place - BLOCK, :k] = back
-        dm[place - BLOCK, k] = -np.einsum("ij,ij->i", back, m)
-        dm = dm.reshape(-1, BLOCK, k + 1)
+        row = np.full(len(x) + 1, n)
+        row[place] = np.arange(n)
+        back = dh @ np.vstack([p["out"], p["b"]]).T
+        back[:n, k] = -np.einsum("ij,ij->i", back[:n, :k], m[:, :k])
+        dm = np.take(back, row[BLOCK:-1], axis=0).reshape(-1, BLOCK, k + 1)
         dm /= np.maximum(mixed[:, :, k:], np.float32(1e-30))
-        ds = dm @ val.transpose(0, 2, 1)
-        ds *= s
-        g["far"] = np.bincount(self.dist.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        g["q"] = self._gather(x[BLOCK:], (ds @ key).reshape(-1, k))
-        wide = lambda a: self._halves(a, len(x))
-        g["key"] = self._gather(x, wide(ds.transpose(0, 2, 1) @ q))
-        g["val"] = self._gather(x, wide(s.transpose(0, 2, 1) @ dm[:, :, :k]))
+        far = np.zeros((BLOCK, 2 * BLOCK), np.float32)
+        dq, dkey, dval = np.empty_like(q), *np.zeros((2, len(q) + 1, k, BLOCK), np.float32)
+        held = np.empty((min(len(q), CHUNK), BLOCK, 2 * BLOCK), np.float32)
+        dval_of = np.ascontiguousarray(dm[:, :, :k])
+        for a in range(0, len(q), CHUNK):
+            b = min(a + CHUNK, len(q))
+            ds = np.matmul(dm[a:b], val[a:b].transpose(0, 2, 1), out=held[: b - a])
+            ds *= s[a:b]
+            far += ds.sum(0)
+            np.matmul(ds, key[a:b], out=dq[a:b])
+            for out, left, right in ((dkey, q, ds), (dval, dval_of, s[a:b])):  # of pairs of blocks, summed onto the places they stand for
+                pair = left[a:b].transpose(0, 2, 1) @ right
+                out[a:b] += pair[:, :, :BLOCK]
+                out[a + 1 : b + 1] += pair[:, :, BLOCK:]
+        g["far"] = np.bincount(self.dist.ravel(), far.ravel(), 2 * BLOCK).astype(np.float32)
+        # what the vectors of the token of each place of ``x`` get
+        small = np.empty((len(q) + 1, BLOCK, 3 * k), np.float32)
+        small[0, :, :k], small[1:, :, :k] = 0, dq
+        small[:, :, k : 2 * k], small[:, :, 2 * k :] = dkey.transpose(0, 2, 1), dval.transpose(0, 2, 1)
+        order, sums = self._gather(x)
+        g["own"], g["prev"] = np.split(sums(np.take(dh, np.stack([row[order], row[order + 1]], 1), axis=0).reshape(len(x), -1)), 2, axis=1)
+        g["q"], g["key"], g["val"] = np.split(sums(np.take(small.reshape(len(x), -1), order, axis=0)), 3, axis=1)
         return g, loss, n
 
-    def _halves(self, pairs: np.ndarray, n: int) -> np.ndarray:
-        """Gradients of pairs of blocks summed onto the places they stand for."""
-        out = np.zeros((n // BLOCK, BLOCK, self.k), np.float32)
-        out[:-1] += pairs[:, :BLOCK]
-        out[1:] += pairs[:, BLOCK:]
-        return out.reshape(n, self.k)
-
-    def _gather(self, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
-        """Sum of the gradients of each token."""
-        out = np.zeros((self.v, grads.shape[1]), np.float32)
-        order = np.argsort(ids.astype(np.uint16), kind="stable")  # by radix
-        at = ids[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out[at[starts]] = np.add.reduceat(grads[order], starts, axis=0)
-        return out
+    def _gather(self, ids: np.ndarray):
+        """The order in which equal tokens are together; of rows in this order, the sum for each token: tokens that occur equally often are one sum over an axis."""
+        times = np.bincount(ids, minlength=self.v)
+        tokens = np.argsort(times, kind="stable")
+        tokens = tokens[np.searchsorted(times[tokens], 1) :]
+        rank = np.zeros(self.v, np.uint16)
+        rank[tokens] = np.arange(len(tokens))
+        sizes, starts = np.unique(times[tokens], return_index=True)
+        sizes, starts, stops = sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(tokens)]
+
+        def sums(rows: np.ndarray) -> np.ndarray:
+            got, at, wide = np.empty((len(tokens), rows.shape[1]), np.float32), 0, rows.shape[1]
+            for size, a, b in zip(sizes, starts, stops, strict=True):
+                end = at + size * (b - a)
+                np.add.reduce(rows[at:end].reshape(b - a, size, wide), axis=1, out=got[a:b])
+                at = end
+            out = np.zeros((self.v, wide), np.float32)
+            out[tokens] = got
+            return out
+
+        return np.argsort(rank[ids], kind="stable"), sums  # by radix
 
 
 class Trainer:
-    """Adam."""
+    """Adam, on all parameters as one array, of which the model's become parts."""
 
     def __init__(self, model: Model, rate: float):
         self.model, self.rate, self.step = model, rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
-        self.s = {k: np.zeros_like(x) for k, x in model.p.items()}
+        self.flat = model.pack()
+        cuts = np.cumsum([x.size for x in model.p.values()])[:-1]
+        for (name, x), part in zip(model.p.items(), np.split(self.flat, cuts), strict=True):
+            model.p[name] = part.reshape(x.shape)
+        self.g, self.m, self.s = (np.zeros_like(self.flat) for _ in range(3))
 
     def learn(self, texts: list[np.ndarray], scale: float = 1.0, spans: list[tuple[int, int]] | None = None) -> tuple[float, int]:
         g, loss, n = self.model.gradients(texts, spans)
         self.step += 1
-        rate = self.rate * scale * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        for k, x in self.model.p.items():
-            m, s = self.m[k], self.s[k]
-            m += np.float32(0.1) * (g[k] - m)
-            s += np.float32(0.01) * (g[k] * g[k] - s)
-            x -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        rate = np.float32(self.rate * scale * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
+        np.concatenate([g[k].ravel() for k in self.model.p], out=self.g)
+        for a in range(0, len(self.flat), 1 << 15):
+            x, g, m, s = (c[a : a + (1 << 15)] for c in (self.flat, self.g, self.m, self.s))
+            m += np.float32(0.1) * (g - m)
+            np.square(g, out=g)
+            g -= s
+            g *= np.float32(0.01)
+            s += g
+            np.sqrt(s, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= rate
+            x -= g
         return loss, n

@@ -1,8 +1,9 @@
 """Language-model scores of whole texts, beside a smoothed word-frequency base.
 
-Passes over the corpus: (1) words of the training rows are counted; (2) the attention model is warmed up in one
-task on a bounded sample of passages, then every input split trains on all words of its training texts and
-the split's parameters are averaged, so what is gathered grows with the corpus; (3) all texts are scored.
+Passes over the corpus: (1) words of the training rows are counted; (2) all texts are split and their subword ids
+written, two bytes each, so that no later pass splits or looks up words; (3) the attention model is warmed up in
+one task on a bounded sample of passages, then every split of these ids trains on all words of its training texts and
+the split's parameters are averaged, so what is gathered grows with the corpus; (4) all texts are scored.
 
 The commonest words, a bounded number, travel with the tasks; all other words of the texts are joined with the
 table of counts by a shuffle, so no word is lost however many there are.
@@ -27,8 +28,8 @@ from .common import setting, written
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids of that vocabulary.
 ALL_IDS = 32_000
-#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step of the warm-up and of a split, words that are scored at once, but for a longer text.
-SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "split_tokens": 16_384, "rate": 0.01, "score_words": 10_000}
+#: Parameters with their defaults: most ids of the model (all ids of the vocabulary, rare and end), words that travel with tasks, tokens of the warm-up sample (gone over anew if the corpus has fewer), tokens of a training step of the warm-up and of a split.
+SETTINGS = {"vocabulary": ALL_IDS + 2, "head_words": 100_000, "warm_tokens": 4_000_000, "step_tokens": 4096, "split_tokens": 16_384, "rate": 0.01}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -79,8 +80,20 @@ class Subwords:
         self.rank = np.full(ALL_IDS, len(ids), np.int32)
         self.rank[ids] = np.arange(len(ids))
         self.rare, self.size, self.logs = len(ids), size, logs or {}
+        self.common, self.common_logs = pa.array(list(self.logs), pa.binary()), np.array([*self.logs.values(), np.nan])
         self.reset()
 
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, how many each has, and the words' ``logs``.
+
+        Without the cache: of many distinct words, most are rare, and encoding them all costs less than looking each up.
+        """
+        lists = self.encode(words.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = self.rank[np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))].astype(np.uint16)
+        at = pc.index_in(words, value_set=self.common).fill_null(len(self.logs)).to_numpy()
+        return flat, sizes, self.common_logs[at]
+
     def reset(self) -> None:
         self.at: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -191,18 +204,64 @@ def _commonest_ids(counts: DataFrame, tokenizer: str, n: int) -> list[tuple[int,
     return [(r["id"], r["n"]) for r in got]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _coded_ids(texts: pa.Array, sub: Subwords) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: what ``coded`` tells; the distinct words' logs; the ids of all words, and where each text's end."""
+    words, codes, sizes = coded(texts)
+    flat, lens, logs = sub.of(words)
+    many = lens[codes]
+    ends = np.r_[0, np.cumsum(many)][np.cumsum(sizes)]
+    return words, codes, sizes, logs, flat[_ranges((np.cumsum(lens) - lens)[codes], many)], ends
+
+
+def _cut(ids: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    for k in range(0, max(1, len(ids)), most):
+        yield ids[k : k + most]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], sub: Subwords, most: int) -> Iterator[np.ndarray]:
     """Ids of all words of each text, in pieces of at most ``most``."""
     for b in batches:
         for texts in slices(b.column(0)):
-            words, codes, sizes = coded(texts)
-            places, end = sub.places(words.to_pylist())[codes], 0
-            for n in sizes.tolist():
-                begin, end = end, end + n
-                for i in range(begin, max(begin + 1, end), 10_000):
-                    ids = sub.ids(places[i : min(i + 10_000, end)])
-                    for k in range(0, max(1, len(ids)), most):
-                        yield ids[k : k + most]
+            *_, ids, ends = _coded_ids(texts, sub)
+            for text in np.split(ids, ends[:-1]):
+                yield from _cut(text, most)
+
+
+_CODED = "doc long, learn boolean, n_tokens long, n_known long, base double, tail array<binary>, times array<int>, ids binary"
+
+
+def code_texts(body: DataFrame, words: Broadcast, end_log: float) -> DataFrame:
+    """Of (doc, learn, text): the ids of all words, the base over the commonest words, and all other words with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub = held_subwords(*words.value)
+        for b in batches:
+            at = 0
+            for texts in slices(b.column(2)):
+                n = len(texts)
+                distinct, codes, sizes, logs, ids, ends = _coded_ids(texts, sub)
+                of, known = np.repeat(np.arange(n), sizes), logs[codes]
+                missing = np.isnan(known)
+                known[missing] = 0
+                pairs, times = np.unique(of[missing] * max(1, len(distinct)) + codes[missing], return_counts=True)
+                text, word = np.divmod(pairs, max(1, len(distinct)))
+                offsets = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+                cols = [
+                    b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(sizes + 1, pa.int64()),
+                    pa.array(sizes - np.bincount(of[missing], minlength=n), pa.int64()), pa.array(np.bincount(of, known, n) + end_log),
+                    pa.ListArray.from_arrays(offsets, distinct.take(pa.array(word))), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+                    pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CODED.split(", ")])
+                at += n
+
+    return body.select("doc", "learn", "text").mapInArrow(run, _CODED)
 
 
 def _train(model: Model, texts: Iterator[tuple[np.ndarray, tuple[int, int]]], rate: float, step_tokens: int, steps: int | None) -> int:
@@ -221,17 +280,15 @@ def _train(model: Model, texts: Iterator[tuple[np.ndarray, tuple[int, int]]], ra
     return seen
 
 
-def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: dict[bytes, float], tokenizer: str, **given) -> tuple[Model, Broadcast]:
-    """The model, from the (text binary) training rows and their word counts; and what its ``held_subwords`` are made from."""
+def fit(texts: DataFrame, coded: DataFrame, common: list[tuple[int, int]], tokens: int, rows: int, tokenizer: str, **given) -> Model:
+    """The model, from the (text binary) training rows and their (ids binary), the counts of all ids and of words."""
     o = SETTINGS | given
-    common = _commonest_ids(counts, tokenizer, o["vocabulary"] - 2)
     ids, v = [i for i, _ in common], len(common) + 2
     freq = np.ones(v)
     freq[: len(ids)] += [n for _, n in common]
     freq[len(ids)] += max(0, 0.001 * sum(n for _, n in common))
     freq[v - 1] += rows
     logs = np.log(freq / freq.sum())
-    spark = texts.sparkSession
     step, wide, rate = o["step_tokens"], o["split_tokens"], o["rate"]
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +308,13 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
     sample = texts.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(some * (1 << 20)))
     start = sample.repartition(1).mapInArrow(warm, "p binary").collect()
     first = start[0]["p"] if start else Model(v, logs=logs).pack().tobytes()
-    shared = spark.sparkContext.broadcast(first)
-    words = spark.sparkContext.broadcast((uuid.uuid4().hex, tokenizer, ids, v, logs_of))
+    shared = texts.sparkSession.sparkContext.broadcast(first)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
         flat = np.frombuffer(shared.value, np.float32)
         model = Model(v, logs=logs).unpack(flat)
-        pieces = _pieces(batches, held_subwords(*words.value), wide)
+        pieces = (x for b in batches for t in b.column(0) for x in _cut(np.frombuffer(t.as_buffer(), np.uint16), wide))
         n = _train(model, ((x, (0, len(x) + 1)) for x in pieces), rate / 10, wide, None)
         moved = model.pack() - flat
         cut = np.array_split(np.arange(len(moved)), 16)
@@ -271,16 +327,13 @@ def fit(texts: DataFrame, counts: DataFrame, tokens: int, rows: int, logs_of: di
         return group.head(1)[["part"]].assign(p=[out], n=[int(n.sum())])
 
     kind = "part int, p binary, n long"
-    parts = texts.mapInArrow(local, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = coded.mapInArrow(local, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     parts = parts.groupBy("part", "salt").applyInPandas(mean, kind)  # at most a 64th of the splits in one group
     moved = {r["part"]: np.frombuffer(r["p"], np.float32) for r in parts.groupBy("part").applyInPandas(mean, kind).collect()}
     flat = np.frombuffer(first, np.float32)
     if moved:
         flat = flat + np.concatenate([moved[i] for i in sorted(moved)])
-    return Model(v, logs=logs).unpack(flat), words
-
-
-_SCORED = "doc long, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>"
+    return Model(v, logs=logs).unpack(flat)
 
 
 def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, **given) -> DataFrame:
@@ -303,54 +356,32 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     below = np.log10(n + 0.5 * (v + 1))
     logs = {w: float(np.log10(c + 0.5) - below) for w, c in head.items()}
     end_log = float(np.log10(rows + 0.5) - below)
+    common = _commonest_ids(counts, tokenizer, o["vocabulary"] - 2)
+    words = spark.sparkContext.broadcast((uuid.uuid4().hex, tokenizer, [i for i, _ in common], len(common) + 2, logs))
     with small_batches(spark):
-        model, subs = fit(train, counts, n, rows, logs, tokenizer, **given)
+        texts = written(code_texts(body, words, end_log).withColumn("rid", F.monotonically_increasing_id()), "coded")
+        model = fit(train, texts.where("learn").select("ids"), common, n, rows, tokenizer, **given)
     shared = spark.sparkContext.broadcast(model.pack())
-    width, chunk = model.v, o["score_words"]
+    width, rare = model.v, len(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
-        net, sub = Model(width).unpack(shared.value), held_subwords(*subs.value)
-        rare_log = float(np.log10(max(1, ALL_IDS - sub.rare)))
-
-        def out(docs: list[int | None], words: list[bytes], codes: np.ndarray, places: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
-            known, rows, ids, end = sub.known[places], [], [], 0
-            for doc, n in zip(docs, sizes, strict=True):
-                begin, end = end, end + n
-                of = known[begin:end]
-                missing = np.isnan(of)
-                tail, times = np.unique(codes[begin:end][missing], return_counts=True)
-                rows.append([doc, n + 1, n - int(missing.sum()), float(of[~missing].sum()) + end_log, [words[i] for i in tail.tolist()], times.tolist()])
-                ids.append(sub.ids(places[begin:end]))
-            scores = net.log10(ids) - np.array([np.count_nonzero(t == sub.rare) for t in ids]) * rare_log
-            cols = [[r[i] for r in rows] for i in range(6)]
-            cols.insert(4, scores.tolist())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SCORED.split(", ")])
-
+        net = Model(width).unpack(shared.value)
+        rare_log = float(np.log10(max(1, ALL_IDS - rare)))
         for b in batches:
-            docs, at = b.column(0).to_pylist(), 0
-            for texts in slices(b.column(1)):
-                words, codes, sizes = coded(texts)
-                words = words.to_pylist()
-                places, ends, a = sub.places(words)[codes], np.cumsum(sizes), 0
-                while a < len(sizes):
-                    begin = int(ends[a - 1]) if a else 0
-                    z = max(a + 1, int(np.searchsorted(ends, begin + chunk, "right")))
-                    end = int(ends[z - 1])
-                    yield out(docs[at + a : at + z], words, codes[begin:end], places[begin:end], sizes[a:z].tolist())
-                    a = z
-                at += len(sizes)
-
-    got = body.select("doc", "text").mapInArrow(run, _SCORED).withColumn("rid", F.monotonically_increasing_id())
+            ids = [np.frombuffer(t.as_buffer(), np.uint16) for t in b.column(0)]
+            scores = net.log10(ids) - np.array([np.count_nonzero(t == rare) for t in ids]) * rare_log
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], names=[*b.schema.names[1:], "score"])
+
     with small_batches(spark):
+        got = texts.select("ids", "rid", "doc", "n_tokens", "n_known", "base").mapInArrow(run, "rid long, doc long, n_tokens long, n_known long, base double, score double")
         got = written(got, "scored")
-    tail = got.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
+    tail = texts.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(counts, "word", "left").groupBy("rid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(float(below)))).alias("more"),
     )
-    all_of = got.drop("tail", "times").join(tail, "rid", "left")
+    all_of = got.join(tail, "rid", "left")
     return all_of.select(
         F.col("doc").alias(key),
         "n_tokens",

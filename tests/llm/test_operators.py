@@ -367,6 +367,31 @@ def test_words_of_batches():
     assert list(scoring.slices(pa.array([], pa.binary()))) == []
 
 
+def test_texts_are_split_once(spark):
+    """The written ids, which training and scoring read, are those of all words of each text; so are the base's parts."""
+    texts, logs = [LONG, "", None, " One two\tthe the zebra ", "word " * 30_000, "the"], {b"the": -1.0, b"word": -2.0}
+    ids = list(range(200, 700))
+    words = spark.sparkContext.broadcast(("once", scoring.TOKENIZER, ids, 502, logs))
+    body = spark.createDataFrame([(i, i != 1, None if t is None else t.encode()) for i, t in enumerate(texts)], "doc long, learn boolean, text binary")
+    sub = scoring.Subwords(scoring.TOKENIZER, ids, 502)
+    rows = {r.doc: r for r in scoring.code_texts(body, words, -0.5).collect()}
+    for i, t in enumerate(texts):
+        r, want = rows[i], scoring.words_of((t or "").encode())
+        assert np.frombuffer(r.ids, np.uint16).tolist() == sub.ids(sub.places(want)).tolist() and r.learn == (i != 1)
+        assert (r.n_tokens, r.n_known) == (len(want) + 1, sum(w in logs for w in want))
+        assert abs(r.base - sum(logs.get(w, 0) for w in want) + 0.5) < 1e-6 * len(want) + 1e-9
+        assert {bytes(w): n for w, n in zip(r.tail, r.times, strict=True)} == Counter(w for w in want if w not in logs)
+
+
+def test_sums_by_token():
+    net, r = Model(300, 8, 4), np.random.default_rng(3)
+    ids, rows = np.minimum(r.integers(0, 299, 2000), r.integers(0, 299, 2000)).astype(np.int32), r.normal(size=(2000, 5)).astype(np.float32)
+    want = np.zeros((300, 5))
+    np.add.at(want, ids, rows)
+    order, sums = net._gather(ids)
+    assert np.allclose(sums(rows[order]), want, atol=1e-4)
+
+
 def test_commonest_words_are_bounded(spark):
     counts = {f"w{i}".encode(): 1 + 1000 // (i + 1) for i in range(300)}
     table = spark.createDataFrame(list(counts.items()), "word binary, c long")
