@@ -216,6 +216,66 @@ def test_vector_index_recall(spark, sf):
     assert search.VectorIndex(base.limit(0)).search(asked, 3).count() == 0
 
 
+def most_rows(df):
+    """The most rows that a step of a plan makes, once it has run."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        found.extend(node.metrics().apply(m).value() for m in ("numOutputRows", "shuffleRecordsWritten") if node.metrics().contains(m))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """900 short random vectors, of which many are equal or are 0."""
+    x = np.random.default_rng(3).integers(-4, 5, (900, 6)).astype(np.float32)
+    x[::7] = x[0]
+    x[::11] = 0
+    path = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def told(rows):
+    return sorted(repr(tuple(r)) for r in rows)  # NaN isn't equal to itself
+
+
+def all_pairs(base, asked, k, metric):
+    q = asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    near = base.where("embedding is not null").crossJoin(q.where("v is not null")).select("query", "vec_id", search.METRICS[metric](F.col("embedding"), F.col("v")).alias("distance"))
+    return told(search._best(near, k, "vec_id", ["query"]).collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner", "cosine"])
+def test_vector_index_makes_no_row_for_a_pair(vectors, metric):
+    asked = vectors.where("vec_id % 10 = 0")
+    found = search.VectorIndex(vectors, 16).search(asked, 5, probes=16, metric=metric)
+    assert most_rows(found) < 900 * 90 / 4
+    assert told(found.collect()) == all_pairs(vectors, asked, 5, metric)
+
+
+def test_vector_lists_of_few_probes(vectors):
+    asked = vectors.where("vec_id % 50 = 0")
+    index = search.VectorIndex(vectors, 8, copies=2)
+    got = index.search(asked, 4, probes=3).collect()
+    probed = asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), F.explode(index._nearest(F.col("embedding"), 3)).alias("list"))
+    near = index.table.join(probed, "list").select("query", "vec_id", search.METRICS["l2"](F.col("embedding"), F.col("v")).alias("distance")).distinct()
+    assert told(got) == told(search._best(near, 4, "vec_id", ["query"]).collect())
+    with pytest.raises(Exception, match="unequal"):
+        index.search(asked.select("vec_id", F.slice("embedding", 1, 2).alias("embedding")), 3).collect()
+
+
 def test_views_of_the_user_stay(spark, sf):
     spark.range(3).createOrReplaceTempView("orders")
     registry.queries()["tpch_q4"](spark, sf).collect()
