@@ -57,20 +57,15 @@ def _by_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str, blocks:
     return rows.mapInArrow(nearest.scan(k, metric, by_list), out)
 
 
-def knn_batch(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", metric: str = "l2", blocks: int = 32, block: int = 256) -> DataFrame:
-    """(query key, key, distance): the k nearest of each of a stated set of queries, against all rows.
+def knn_batch(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", metric: str = "l2", blocks: int = 32, block: int = 8192) -> DataFrame:
+    """(query key, key, distance): the k nearest of each of a stated set of queries, against all rows; ties to the smaller key, NULL vectors are skipped.
 
-    Queries are gathered into blocks of about ``block`` vectors, and each row meets a block as one array: what is
-    sent around is a list of blocks, never a row for each pair until the nearest are known.  The base is dealt into
-    ``blocks``; each keeps its k best for each query, and only those are merged.
+    The job is rows times queries by nature.  A matrix product finds the pairs that may count, with a bound for its
+    rounding; only those get the distance, as ``functions.vector`` computes it.  See ``_by_blocks`` for ``blocks`` and ``block``.
     """
-    q = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("query"), F.col(column).alias("v"))
-    many = max(1, -(-q.count() // block))
-    q = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(many)).alias("_q")).agg(F.collect_list(F.struct("query", "v")).alias("qs"))
-    b = base.where(F.col(column).isNotNull()).select(key, column, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_q"))
-    pairs = b.join(q, "_q").select(key, "_block", column, F.explode("qs").alias("x"))
-    near = pairs.select("x.query", key, "_block", METRICS[metric](F.col(column), F.col("x.v")).alias("distance"))
-    return _best(_best(near, k, key, ["query", "_block"]), k, key, ["query"]).drop("_block")
+    b = base.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), _doubles(base, column).alias("v"))
+    q = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("query"), _doubles(queries, column).alias("v"))
+    return _best(_by_blocks(b, q, k, metric, blocks, block).withColumnRenamed("key", key), k, key, ["query"])
 
 
 class VectorIndex:

@@ -265,6 +265,27 @@ def test_vector_index_makes_no_row_for_a_pair(vectors, metric):
     assert told(found.collect()) == all_pairs(vectors, asked, 5, metric)
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner", "cosine"])
+def test_knn_batch_makes_no_row_for_a_pair(vectors, metric):
+    asked = vectors.where("vec_id % 10 = 0")
+    found = search.knn_batch(vectors, asked, 5, metric=metric)
+    assert most_rows(found) < 900 * 90 / 4
+    assert told(found.collect()) == told(search.knn_batch(vectors, asked, 5, metric=metric, blocks=3, block=20).collect()) == all_pairs(vectors, asked, 5, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner", "cosine"])
+def test_knn_of_odd_vectors(spark, metric):
+    nan, inf, low = float("nan"), float("inf"), -0.0
+    odd = [[nan, 1.0], [inf, 1.0], [-inf, inf], [None, 1.0], [None, nan], [1e200, 1e200], [1e-200, 1e-170], [0.0, low], [low, low], [1e154, 1.0], None]
+    rows = odd + [[float(i % 5), float(i % 3)] for i in range(30)]
+    base = spark.createDataFrame([(f"r{i * 7 % 41}", v) for i, v in enumerate(rows)], "vec_id string, embedding array<double>")
+    for k in (3, 60):
+        assert told(search.knn_batch(base, base, k, metric=metric).collect()) == all_pairs(base, base, k, metric)
+    some = base.select("vec_id", F.expr("transform(embedding, x -> try_cast(x as int))").alias("embedding"))
+    assert told(search.knn_batch(some, some, 4, metric=metric).collect()) == all_pairs(some, some, 4, metric)
+    assert search.knn_batch(base.limit(0), base, 3).count() == search.knn_batch(base, base.limit(0), 3).count() == 0
+
+
 def test_vector_lists_of_few_probes(vectors):
     asked = vectors.where("vec_id % 50 = 0")
     index = search.VectorIndex(vectors, 8, copies=2)
