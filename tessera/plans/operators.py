@@ -165,8 +165,8 @@ add("join_cross", "select n_name, r_name from nation, region")(lambda s, d: R.jo
 
 
 def _residual(s: SparkSession, d: str) -> DataFrame:
-    a, b = table(s, d, "supplier"), table(s, d, "customer")
-    return R.join(a, b, "inner", ["s_nationkey"], ["c_nationkey"], residual=a.s_acctbal > b.c_acctbal + 9000).select("s_suppkey", "c_custkey")
+    a, b = table(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return R.inequality_join(a, b, ["s_nationkey"], ["c_nationkey"], a.s_acctbal, b.c_acctbal + 9000).select("s_suppkey", "c_custkey")
 
 
 add("join_residual", "select s_suppkey, c_custkey from supplier join customer on s_nationkey = c_nationkey and s_acctbal > c_acctbal + 9000")(_residual)

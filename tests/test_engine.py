@@ -297,6 +297,32 @@ def test_vector_lists_of_few_probes(vectors):
         index.search(asked.select("vec_id", F.slice("embedding", 1, 2).alias("embedding")), 3).collect()
 
 
+def test_join_residual_deals_a_key_and_compares_what_fits(spark, tmp_path):
+    spark.range(3000).selectExpr("id as s_suppkey", "cast(id % 2 as int) as s_nationkey", "cast(id * 7919 % 3000 as double) * 4 - 1000 as s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(20000).selectExpr("id as c_custkey", "cast(id % 2 as int) as c_nationkey", "cast(id * 7919 % 20000 as double) - 1000 as c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    found = registry.queries()["join_residual"](spark, str(tmp_path))
+    a, b = (spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("supplier", "customer"))
+    wanted = R.join(a, b, "inner", ["s_nationkey"], ["c_nationkey"], residual=a.s_acctbal > b.c_acctbal + 9000).select("s_suppkey", "c_custkey")
+    assert found.count() == wanted.count() > 0 and found.exceptAll(wanted).count() == 0
+    plan = registry.queries()["join_residual"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" in plan and "_step" in plan  # a nation's rows aren't one task's
+
+
+@pytest.mark.parametrize(("rows", "pairs"), [(256, 1 << 24), (8, 600), (1, 900)])
+def test_inequality_join(spark, rows, pairs):
+    odd = "case when id % 37 = 0 then null when id % 41 = 0 then cast('NaN' as double) when id % 43 = 0 then cast('-Infinity' as double) else"
+    a = spark.range(300).selectExpr("case when id % 29 > 0 then cast(id % 3 as int) end as k", "id as n", f"{odd} cast(id * 17 % 50 as double) end as x", "map('n', id) as m")
+    b = spark.range(200).selectExpr("case when id % 31 > 0 then id % 4 end as k", "id as n", f"{odd} cast(id * 13 % 70 as double) end as x")
+    l, r = a.select(*[F.col(x).alias(f"l{x}") for x in a.columns]), b.select(*[F.col(x).alias(f"r{x}") for x in b.columns])
+    wanted = l.join(r, (l.lk == r.rk) & (l.lx > r.rx + 5))
+    found = R.inequality_join(a, b, ["k"], ["k"], a.x, b.x + 5, rows=rows, pairs=pairs)
+    assert found.columns == ["k", "n", "x", "m", "k", "n", "x"] and [t for _, t in found.dtypes] == [t for _, t in wanted.dtypes]
+    assert told(found.collect()) == told(wanted.collect())
+    assert R.inequality_join(a.where("n < 0"), b, ["k"], ["k"], a.x, b.x).count() == 0
+    with pytest.raises(InvalidError):
+        R.inequality_join(a, b, [], [], a.x, b.x)
+
+
 def test_views_of_the_user_stay(spark, sf):
     spark.range(3).createOrReplaceTempView("orders")
     registry.queries()["tpch_q4"](spark, sf).collect()
